@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarp.llm import leakage, lookalikes, near_duplicates, repeated_lines
+from sitewarp.llm import leakage, lookalikes, main_body, near_duplicates, repeated_lines, residue
 from sitewarp.session import table
 
 
@@ -25,6 +25,18 @@ def p2_cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, sf_dir, "page"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body.main_body_lines(table(spark, sf_dir, "page"), table(spark, sf_dir, "page_raw"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(table(spark, sf_dir, "page"), table(spark, sf_dir, "page_raw")).select("page_id")
+
+
+def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.message_templates(table(spark, sf_dir, "page"), table(spark, sf_dir, "page_raw"))
+
+
 def _similar_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "page"), "page_id", "main_text", size=3, threshold=0.6, least_words=40)
 
@@ -48,7 +60,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p9_found(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent_pages, p2_found, p2_cleaned_pages, p7_found, p7_membership, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent_pages, p2_found, p2_cleaned_pages, p3_found, p4_found, p4_templates, p7_found, p7_membership, p9_found, p9_report)}
 
 _LINES = r"""lines AS (
   SELECT site, page_id, i AS line_no, l, regexp_replace(regexp_replace(lower(regexp_replace(l, '^[ \t]+|[ \t]+$', '', 'g')), '[ \t]+', ' ', 'g'), '[0-9]+', '0', 'g') AS form
