@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarp.llm import leakage, lookalikes, main_body, near_duplicates, repeated_lines, residue
+from sitewarp.llm import keyword_spam, leakage, lookalikes, main_body, near_duplicates, packing, repeated_lines, residue
 from sitewarp.session import table
 
 
@@ -52,6 +52,14 @@ def p7_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(links, "rep", "left").select(F.col("id").alias("page_id"), F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
@@ -60,7 +68,15 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p9_found(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent_pages, p2_found, p2_cleaned_pages, p3_found, p4_found, p4_templates, p7_found, p7_membership, p9_found, p9_report)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_spam.keyword_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_spam.judged_runs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_consistent_pages, p2_found, p2_cleaned_pages, p3_found, p4_found, p4_templates, p7_found, p7_membership, p8_containers, p8_fill, p9_found, p9_report, p10_found, p10_runs)}
 
 _LINES = r"""lines AS (
   SELECT site, page_id, i AS line_no, l, regexp_replace(regexp_replace(lower(regexp_replace(l, '^[ \t]+|[ \t]+$', '', 'g')), '[ \t]+', ' ', 'g'), '[0-9]+', '0', 'g') AS form
