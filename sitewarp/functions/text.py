@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ PATTERNS = {
     "phone": r"(\+[0-9]{1,3}[ .\-]?)?(\([0-9]{2,4}\)[ .\-]?)?[0-9]{3,4}[ .\-]?[0-9]{3,4}",
     "email": r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}",
     "postal_code": r"\b[0-9]{4,6}\b|\b[a-z]{1,2}[0-9]{1,2}[a-z]? ?[0-9][a-z]{2}\b",
-    "opening_hours": r"\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*\b[^.]{0,30}[0-9]{1,2}[:.]?[0-9]{0,2} *(am|pm|-)",
+    "opening_hours": r"\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*[^a-z.][^.]{0,29}[0-9]{1,2}[:.]?[0-9]{0,2} *(am|pm|-)",
     "byline": r"\bby [a-z]+ [a-z]+",
     "trial": r"\b(free trial|book a demo|request a demo|get started free|try it free|start free)\b",
     "cart": r"\b(add to (cart|basket|bag)|buy now|checkout)\b",
@@ -41,6 +43,10 @@ PATTERNS = {
     "autoplay": r"<(video|audio)[^>]+autoplay|popup|interstitial",
     "mount_root": r"id=[\"'](root|app|__next|__nuxt)[\"']",
 }
+# Engines differ on what \b means beside letters outside ASCII, so it is spelled out.
+PATTERNS = {name: re.sub(r"\\b(?=[(\[a-z])(?<![)\]*+].)", "(?:^|[^A-Za-z0-9_])", p) for name, p in PATTERNS.items()}
+PATTERNS = {name: p.replace(r"\b", "(?:[^A-Za-z0-9_]|$)") for name, p in PATTERNS.items()}
+
 #: Zero-width and direction characters.
 INVISIBLE = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2069, 0xFEFF)))
 
