@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewarp.session import cut_lineage
+
 FINDING = "site string, seq bigint, check_id string, title string, severity string, confidence string, stage string, category string, scope string, affected_urls array<string>, evidence string, effort string, summary string, mechanism string"
 
 # Ranks, scores and gate rules.
@@ -91,7 +93,7 @@ def ice(severity: Column, confidence: Column, effort: Column) -> Column:
 
 
 def report_order() -> list:
-    return [F.desc(lookup(F.col("severity"), SEVERITY, 0)), F.desc("ice"), lookup(F.col("stage"), STAGE, 9), F.col("check_id"), F.coalesce(F.element_at("affected_urls", 1), F.lit("")), F.col("seq")]
+    return [F.desc(lookup(F.col("severity"), SEVERITY, 0)), F.desc("ice"), lookup(F.col("stage"), STAGE, 9), F.col("check_id"), F.coalesce(F.get("affected_urls", F.lit(0)), F.lit("")), F.col("seq")]
 
 
 def _closers(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,9 +145,11 @@ def ranked(findings: DataFrame) -> DataFrame:
 
 
 def reported(findings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ranked findings, limitations): the whole way, in the order validate, absorb, collapse, gate, score, rank."""
-    fine, limitations = validated(findings)
-    return ranked(gated(collapsed(absorbed(fine), pages))), limitations
+    """(ranked findings, limitations): the whole way, in the order validate, absorb, collapse, gate, score, rank.
+    Every step reads its input several times, so the findings, small beside the pages, are kept between the steps."""
+    fine, limitations = validated(cut_lineage(findings))
+    merged = cut_lineage(collapsed(cut_lineage(absorbed(fine)), pages))
+    return ranked(cut_lineage(gated(merged))), limitations
 
 
 def counts(findings: DataFrame) -> DataFrame:

@@ -60,12 +60,12 @@ def _findings(spark, d):
 
 
 def collapsed_findings(spark: SparkSession, d: str) -> DataFrame:
-    return O.collapsed(_findings(spark, d), _pages(spark, d)).select("site", "check_id", "severity", "scope", "n_collapsed", F.size("affected_urls").cast("bigint").alias("n_urls"))
+    return O.collapsed(cut_lineage(_findings(spark, d)), _pages(spark, d)).select("site", "check_id", "severity", "scope", "n_collapsed", F.size("affected_urls").cast("bigint").alias("n_urls"))
 
 
 def ranked_findings(spark: SparkSession, d: str) -> DataFrame:
     ranked, _ = O.reported(_findings(spark, d), _pages(spark, d))
-    return ranked.select("site", "finding_id", "check_id", "severity", "confidence", "scope", "ice", "priority", "blocked_by", F.coalesce(F.element_at("affected_urls", 1), F.lit("")).alias("first_url"))
+    return ranked.select("site", "finding_id", "check_id", "severity", "confidence", "scope", "ice", "priority", "blocked_by", F.coalesce(F.get("affected_urls", F.lit(0)), F.lit("")).alias("first_url"))
 
 
 def finding_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -79,8 +79,7 @@ def gate_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_reports(spark: SparkSession, d: str) -> DataFrame:
-    raised = cut_lineage(_findings(spark, d))
-    ranked, limits = O.reported(raised, _pages(spark, d))
+    ranked, limits = O.reported(_findings(spark, d), _pages(spark, d))
     return report.site_reports(cut_lineage(ranked), _pages(spark, d), suppression_counts(spark, d), limits).select("site", "status", "n_pages", "n_findings", F.to_json("findings").alias("findings"), F.to_json("suppressions").alias("suppressions"))
 
 
@@ -174,9 +173,9 @@ def _field(name: str) -> str:
 
 _ORDER = "CASE check_id " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(checks.CATALOGUE)) + " END"
 _RAISED = f"""facts AS ({_FACTS}), sites AS ({_SITE}), raised AS (
- SELECT site, check_id, page_id AS at, url, 'url' AS scope FROM ({_fired(checks.PAGE_CHECKS, 'facts', 'site, url, page_id')})
+ SELECT site, check_id, page_id AS spot, url, 'url' AS scope FROM ({_fired(checks.PAGE_CHECKS, 'facts', 'site, url, page_id')})
  UNION ALL SELECT site, check_id, 0, NULL, 'site' FROM ({_fired(checks.SITE_CHECKS, 'sites', 'site')})),
-numbered AS (SELECT *, {_ORDER} * 281474976710656 + at AS seq, {_field('severity')} AS severity, {_field('confidence')} AS confidence, {_field('stage')} AS stage, {_field('effort')} AS effort FROM raised),
+numbered AS (SELECT *, {_ORDER} * 281474976710656 + spot AS seq, {_field('severity')} AS severity, {_field('confidence')} AS confidence, {_field('stage')} AS stage, {_field('effort')} AS effort FROM raised),
 sized AS (SELECT site, count(*) AS n_pages FROM page GROUP BY 1),
 wide AS (SELECT site, check_id, min(seq) AS speaker, count(*) AS n, count(DISTINCT url) AS n_urls, min(url) AS first_url FROM numbered JOIN sized USING (site) WHERE scope = 'url' AND n_pages >= 5 GROUP BY site, check_id, n_pages HAVING count(*) >= 5 AND count(DISTINCT url) >= 0.5 * n_pages),
 kept AS (SELECT numbered.* EXCLUDE (scope, url), CASE WHEN w.n IS NULL THEN scope ELSE 'site' END AS scope, coalesce(w.n, 1) AS n_collapsed, CASE WHEN w.n IS NOT NULL THEN w.n_urls WHEN url IS NULL THEN 0 ELSE 1 END AS n_urls, coalesce(w.first_url, url) AS first_url
@@ -218,6 +217,6 @@ FROM (SELECT site, {_scores()} AS s FROM ({_SIGNALS}))""",
     "finding_counts": f"WITH {_RANKED}, c AS (SELECT *, CASE WHEN stage = 'act' THEN 'engagement' ELSE 'discoverability' END AS category FROM final) SELECT site, 'severity' AS dimension, severity AS value, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT site, 'stage', stage, count(*) FROM c GROUP BY ALL UNION ALL SELECT site, 'category', category, count(*) FROM c GROUP BY ALL",
     "gate_notes": f"WITH {_RANKED} SELECT f.site, b.finding_id AS blocked_by, count(*) AS n_blocked FROM final f JOIN final b ON b.site = f.site AND b.seq = f.blocked_seq GROUP BY 1, 2",
     "parsed_pages": """SELECT fetch_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[ \\t\\r\\n\\f\\v\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS title,
- len(regexp_extract_all(html, '<h[1-6]>')) AS n_headings, len(regexp_extract_all(html, '<a href=')) AS n_anchors, len(regexp_extract_all(html, '<script type="application/ld.json">[ \\t\\r\\n]*[^ \\t\\r\\n<]')) AS n_blocks, len(regexp_extract_all(html, '<script')) AS n_scripts
+ len(regexp_extract_all(html, '<h[1-6]>')) AS n_headings, len(regexp_extract_all(html, '<a href=')) AS n_anchors, len(regexp_extract_all(html, '<script type="application/ld.json">')) - len(regexp_extract_all(html, '<script type="application/ld.json">[ \\t\\r\\n]*</script>')) AS n_blocks, len(regexp_extract_all(html, '<script')) AS n_scripts
 FROM (SELECT DISTINCT ON (fetch_id) * FROM page_raw WHERE html IS NOT NULL)""",
 }

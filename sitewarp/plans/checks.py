@@ -100,7 +100,7 @@ def page_facts(page: DataFrame) -> DataFrame:
         (T.occurrences(body, "statistic") + T.occurrences(body, "quotation") + T.occurrences(body, "citation")).alias("n_evidence"),
         F.size(days).cast("bigint").alias("n_dates"), number(F.datediff(F.array_max(days), F.array_min(days))).alias("date_spread"), T.invisible_count(F.col("text")).alias("n_invisible"),
         U.depth(F.coalesce("url", F.lit(""))).cast("bigint").alias("depth"), F.coalesce(F.arrays_overlap("links.internal", up), F.lit(False)).alias("links_up"),
-        number(F.array_max(F.transform(forms, lambda f: F.size(f["fields"])))).alias("most_fields"), number(F.aggregate(forms, F.lit(0), lambda a, f: a + F.size(F.filter(f["fields"], lambda x: ~x["labelled"])))).alias("n_unlabelled"),
+        number(F.array_max(F.transform(forms, lambda f: F.size(f["fields"])))).alias("most_fields"), number(F.aggregate(forms, F.lit(0), lambda a, f: a + F.coalesce(F.size(F.filter(f["fields"], lambda x: ~x["labelled"])), F.lit(0)))).alias("n_unlabelled"),
         F.size(F.coalesce("links.internal_in_main", none)).cast("bigint").alias("n_in_main"), F.size(F.coalesce("links.internal", none)).cast("bigint").alias("n_internal"),
         F.coalesce(F.map_contains_key("meta", F.lit("viewport")), F.lit(False)).alias("has_viewport"), (F.coalesce("meta_description", F.lit("")) != "").alias("has_description"), F.coalesce(F.size(F.map_keys("markup.opengraph")) > 0, F.lit(False)).alias("has_graph"),
         F.col("canonical").isNotNull().alias("has_canonical"), (T.matches(F.col("text"), "email") | F.coalesce(F.col("text").rlike(r"(^|\n)Tel\. "), F.lit(False))).alias("has_contact"),

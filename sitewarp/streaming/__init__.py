@@ -1 +1 @@
-
+"""Incremental and windowed views of the same tables."""
