@@ -60,29 +60,24 @@ def _pictured(ch: str) -> bool:
     return bool(ch) and (unicodedata.category(ch) in ("So", "Sk") or ord(ch) >= 0x1F000)
 
 
+def _as(letter: str, own: str, target: str) -> str | None:
+    """``letter`` of alphabet ``own`` as the letter of ``target`` that it looks like, or None."""
+    if own in (target, "Zyyy"):
+        return letter
+    latin = letter if own == "Latn" else _LATIN_OF[own].get(letter)
+    return latin if latin is None or target == "Latn" else _OF_LATIN[target].get(latin)
+
+
 def _one_script(word: re.Match) -> str:
-    """The word with look-alike letters of another alphabet replaced. The word's alphabet is the one with most
-    letters that no other alphabet resembles, then the one with most letters, then Latin."""
+    """The word with look-alike letters of another alphabet replaced. Its alphabet is the one in which fewest letters have no
+    counterpart, then the one with most letters, then Latin; letters without a counterpart stay."""
     w = word.group()
     scripts = [script(c) for c in w]
-    if len({s for s in scripts if s != "Zyyy"}) < 2:
+    met = set(scripts) - {"Zyyy"}
+    if len(met) < 2:
         return w
-    own: dict[str, list[int]] = {}
-    for c, s in zip(w, scripts, strict=True):
-        if s == "Zyyy":
-            continue
-        alike = c in _LATIN_OF[s] if s != "Latn" else any(c in t for t in _OF_LATIN.values())
-        n = own.setdefault(s, [0, 0])
-        n[0] += not alike
-        n[1] += 1
-    target = max(own, key=lambda s: (own[s][0], own[s][1], s == "Latn"))
-    out = []
-    for c, s in zip(w, scripts, strict=True):
-        if s not in ("Zyyy", target):
-            latin = c if s == "Latn" else _LATIN_OF[s].get(c)
-            c = c if latin is None else latin if target == "Latn" else _OF_LATIN[target].get(latin, c)
-        out.append(c)
-    return "".join(out)
+    target = min(met, key=lambda t: (sum(_as(c, s, t) is None for c, s in zip(w, scripts, strict=True)), -scripts.count(t), t != "Latn"))
+    return "".join(_as(c, s, target) or c for c, s in zip(w, scripts, strict=True))
 
 
 def plain(token: str) -> str:

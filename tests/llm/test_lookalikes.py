@@ -7,7 +7,7 @@ from sitewarp.llm.characters import fold, plain
 
 N = {"ZWSP": chr(0x200B), "ZWNJ": chr(0x200C), "ZWJ": chr(0x200D), "LRM": chr(0x200E), "SHY": chr(0xAD), "NBSP": chr(0xA0), "BOM": chr(0xFEFF)}
 DECOMPOSED = unicodedata.normalize("NFD", "récolte")
-ODD = {DECOMPOSED: "récolte", f"se{N['ZWSP']}gundo": "segundo", f"332{N['NBSP']}visits": "332 visits", "ﬁltre": "filtre", "Ａｎｄｏ": "Ando", "３９": "39", "Τаmsіn": "Tamsin", "rοm": "rom", "мaгaзин": "магазин", f"N{N['SHY']}imdor": "Nimdor", f"Bordor{N['LRM']}": "Bordor", f"{N['BOM']}x": "x", "\U0001d400bc": "Abc", f"rest{chr(0x3000)}chose": "rest chose"}
+ODD = {DECOMPOSED: "récolte", f"se{N['ZWSP']}gundo": "segundo", f"332{N['NBSP']}visits": "332 visits", "ﬁltre": "filtre", "Ａｎｄｏ": "Ando", "３９": "39", "Τаmsіn": "Tamsin", "rοm": "rom", "аuѕ": "aus", "ѕtaуѕ": "stays", "мaгaзин": "магазин", f"N{N['SHY']}imdor": "Nimdor", f"Bordor{N['LRM']}": "Bordor", f"{N['BOM']}x": "x", "\U0001d400bc": "Abc", f"rest{chr(0x3000)}chose": "rest chose"}
 PLAIN = ["récolte", "магазин", "ελληνικά", "naïve", "“quoted”", "a–b", "Ærøskøbing,", "Łódź", f"می{N['ZWNJ']}رسند", f"👩{N['ZWJ']}🔧", "❤️", "☀️", "नमस्ते", "新しい棚（木製）が！", "שלום,", "Σ=1", "АГБ", "m²", "½", "№5", "", "plain"]
 
 
