@@ -26,14 +26,14 @@ OBJECT, ELEMENT, SCALAR = "{}", "[]", "$"
 
 def strict_json(text: str):
     """The value of a block that is one well-formed JSON text; ``ValueError`` otherwise.
-    NaN and infinities are no JSON; of a repeated member the last counts; blocks nested beyond the parser's
-    stack (thousands of levels) are treated as malformed."""
+    NaN and infinities are no JSON; of a repeated member the last counts; numbers of any length stay as they are written
+    if they are longer than the interpreter converts; blocks nested beyond the parser's stack are treated as malformed."""
 
     def refuse(name: str):
         raise ValueError(name)
 
     try:
-        return json.loads(text, parse_constant=refuse)
+        return json.loads(text, parse_constant=refuse, parse_int=lambda digits: int(digits) if len(digits) < 4000 else digits)
     except RecursionError as deep:
         raise ValueError("too deep") from deep
 
@@ -100,30 +100,36 @@ def _missing(node: _Node, rep: int, depth: int) -> None:
             stack.extend(at.kids.values())
 
 
-def _dissect(node: _Node, value, rep: int) -> None:
-    if node.column is not None:  # a step with no branch below it: null, or an empty object or array
-        node.column.reps.append(rep)
-        node.column.defs.append(node.depth)
-        node.column.values.append(None)
-        return
-    for step, kid in node.kids.items():
-        if step == OBJECT and isinstance(value, dict):
-            if kid.column is not None:
-                _dissect(kid, None, rep)
-            for name, member in kid.kids.items():
-                if name[1:] in value:
-                    _dissect(member, value[name[1:]], rep)
-                else:
-                    _missing(member, rep, kid.depth)
-        elif step == ELEMENT and isinstance(value, list) and value:
-            for i, x in enumerate(value):
-                _dissect(kid, x, rep if not i else kid.rep)
-        elif step == SCALAR and value is not None and not isinstance(value, (dict, list)):
-            kid.column.reps.append(rep)
-            kid.column.defs.append(kid.depth)
-            kid.column.values.append(value)
-        else:
-            _missing(kid, rep, node.depth)
+def _dissect(root: _Node, record) -> None:
+    """Writes the entries of a record to its columns, parents before children and elements in order; without recursion, so
+    nesting is limited by the parser only."""
+    stack = [(root, record, 0)]
+    while stack:
+        node, value, rep = stack.pop()
+        if node.column is not None:  # a step with no branch below it: null, or an empty object or array
+            node.column.reps.append(rep)
+            node.column.defs.append(node.depth)
+            node.column.values.append(None)
+            continue
+        later = []
+        for step, kid in node.kids.items():
+            if step == OBJECT and isinstance(value, dict):
+                if kid.column is not None:
+                    later.append((kid, None, rep))
+                for name, member in kid.kids.items():
+                    if name[1:] in value:
+                        later.append((member, value[name[1:]], rep))
+                    else:
+                        _missing(member, rep, kid.depth)
+            elif step == ELEMENT and isinstance(value, list) and value:
+                later.extend((kid, x, kid.rep if i else rep) for i, x in enumerate(value))
+            elif step == SCALAR and value is not None and not isinstance(value, (dict, list)):
+                kid.column.reps.append(rep)
+                kid.column.defs.append(kid.depth)
+                kid.column.values.append(value)
+            else:
+                _missing(kid, rep, node.depth)
+        stack.extend(reversed(later))
 
 
 def shred(record) -> list[Column]:
@@ -132,7 +138,7 @@ def shred(record) -> list[Column]:
     _schema(root, record)
     columns: list[Column] = []
     _leaves(root, columns)
-    _dissect(root, record, 0)
+    _dissect(root, record)
     return columns
 
 

@@ -64,3 +64,16 @@ def test_shredded_columns_hold_every_value(spark):
     got = {r.leaf_path: (r.repetition, r.definition, r.value) for r in S.shredded_jsonld(page).collect()}
     assert got == {"{}.a[]{}.b$": ([0, 1, 1], [6, 4, 6], ["1", None, "2"]), "{}.t$": ([0], [3], ["x"])}
     assert json.loads(S.page_leaves(page).where("path = '0/a/2/b'").first().value) == 2
+
+
+def test_deep_nesting_and_long_numbers():
+    deep = "[" * 700 + '{"a": ' * 200 + "{}" + "}" * 200 + "]" * 700
+    rows = list(S.object_rows(S.shred(S.strict_json(deep))))
+    assert len(rows) == 201 and rows[0][1] is None and max(len(p) for p, _, _ in rows) > 1400
+    assert len(list(S.object_rows(S.shred(S.strict_json('{"n": ' + "9" * 6000 + "}"))))) == 1
+    try:
+        S.strict_json("[" * 10**6)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError
