@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sitewarp.llm.characters import SUSPECT, plain
+from sitewarp.operators.joins import salted_join
 from sitewarp.session import cut_lineage
 
 TOKENS = r"[^ \t\r\n]+"
@@ -52,10 +53,11 @@ def canonical_members(tokens: DataFrame) -> DataFrame:
 
 def odd_tokens(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, token, canonical) where a token is not written as its class's canonical member.
-    The places are few and used three times: they are kept, so the texts are scanned once."""
+    The places are few and used three times: they are kept, so the texts are scanned once. A token that stands
+    almost everywhere is spread over reducers."""
     places = cut_lineage(token_places(rows, key, fields))
     changed = canonical_members(places).where("token <> canonical")
-    return places.join(changed, "token").select(key, "field", "token", "canonical")
+    return salted_join(places, changed, ["token"], spread=key).select(key, "field", "token", "canonical")
 
 
 def consistent_text(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
