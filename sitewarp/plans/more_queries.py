@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewarp.operators import crawling, links, markup, shredding
+from sitewarp.functions import text as T
+from sitewarp.operators import content, crawling, links, markup, shredding
 from sitewarp.plans import audit_queries as A
 from sitewarp.plans import checks, legacy_checks
 from sitewarp.plans import crawl_queries as C
 from sitewarp.session import table
+from sitewarp.sources import html
 
 
 def legacy_site_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -65,3 +67,36 @@ FROM (SELECT site, arg_max({{'content_type': content_type, 'url': url, 'final_ur
     "render_budget": f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY site, page_type ORDER BY url) AS turn FROM (SELECT *, coalesce(provisional_type, 'unknown') AS page_type FROM ({C._FRONTIER})))
 SELECT site, url, page_type FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY turn, coalesce(nullif(coalesce(list_position([{', '.join(repr(x) for x in crawling.RENDER_ORDER)}], page_type), 0), 0), {len(crawling.RENDER_ORDER) + 1}), page_type) AS place FROM t WHERE turn <= 6) WHERE place <= 6""",
 }
+
+
+def site_brands(spark: SparkSession, d: str) -> DataFrame:
+    return content.site_brands(table(spark, d, "page"))
+
+
+def page_statements(spark: SparkSession, d: str) -> DataFrame:
+    return content.page_facts(table(spark, d, "page"))
+
+
+def statement_support(spark: SparkSession, d: str) -> DataFrame:
+    return content.supported_facts(table(spark, d, "page"))
+
+
+def window_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of documents that do not stand alone, by reason."""
+    w = table(spark, d, "documents").where("text is not null").select(F.explode(T.greedy_windows(F.col("text"), 60)).alias("w"))
+    return w.groupBy(F.coalesce(content.self_contained(F.col("w")), F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def calls_to_action(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "page_raw").where("html is not null").dropDuplicates(["fetch_id"])
+    return content.calls_to_action(html.parsed_pages(raw, ["fetch_id"]), ["fetch_id"])
+
+
+def missing_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "page_raw").where("html is not null").dropDuplicates(["fetch_id"])
+    return content.missing_alternatives(html.parsed_pages(raw, ["fetch_id"]), ["fetch_id"])
+
+
+QUERIES |= {f.__name__: f for f in (site_brands, page_statements, statement_support, window_defects, calls_to_action, missing_alternatives)}
+SQL["site_brands"] = """SELECT site, part AS brand, n AS n_pages FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, length(part), part) AS r FROM (
+ SELECT site, part, count(DISTINCT page_id) AS n FROM (SELECT site, page_id, unnest(p) AS part FROM (SELECT site, page_id, list_filter(list_transform(string_split_regex(title, ' [|\\-–—·:] '), lambda x: trim(x)), lambda x: x <> '') AS p FROM page WHERE title IS NOT NULL) WHERE len(p) > 1) GROUP BY 1, 2)) WHERE r = 1"""

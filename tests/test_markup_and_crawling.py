@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from test_audit import finding, frame
 
 from sitewarp.functions import register
-from sitewarp.operators import crawling, markup, shredding
+from sitewarp.operators import content, crawling, markup, shredding
 from sitewarp.plans import checks, legacy_checks
+from sitewarp.sources import html
 
 
 def test_markup(spark):
@@ -57,3 +58,16 @@ def test_sql_functions(spark):
 def test_catalogue():
     ids = [c.check_id for c in (*checks.PAGE_CHECKS, *checks.SITE_CHECKS, *legacy_checks.CHECKS)]
     assert len(ids) == len(set(ids)) and all(c.severity in ("info", "low", "medium", "high", "critical") for c in checks.CATALOGUE.values())
+
+
+def test_content(spark):
+    h = "array<struct<level int, text string, pos int>>"
+    page = spark.createDataFrame([(1, "s", "Red lamps for homes - Acme", "Lamps that are red and bright", [(1, "Red lamps for homes", 0), (2, "Why red lamps last longer", 1)], "Red lamps last. They fit homes. Why red lamps last longer is told here."), (2, "s", "About | Acme", None, None, None), (3, "t", None, "", [], "")], f"page_id bigint, site string, title string, meta_description string, headings {h}, main_text string")
+    assert [tuple(r) for r in content.site_brands(page).collect()] == [("s", "Acme", 2)]
+    assert [(r.page_id, r.place, r.fact) for r in content.page_facts(page).orderBy("place").collect()] == [(1, 0, "Red lamps for homes"), (1, 1, "Why red lamps last longer"), (1, 2, "Lamps that are red and bright")]
+    assert [r.supported for r in content.supported_facts(page).orderBy("place").collect()] == [True, True, True]
+    w = spark.createDataFrame([(0, "It is red.", None), (1, "The lamp, as noted above, is red.", None), (2, "", None), (3, "The lamp is red.", "Acme Lamps"), (4, "Acme is here.", "Acme Lamps"), (5, None, None)], "i int, w string, n string")
+    assert [r.r for r in w.select("i", content.self_contained(F.col("w"), F.col("n")).alias("r")).orderBy("i").collect()] == ["opener", "back_reference", "empty", "unnamed", None, "empty"]
+    parsed = html.parsed_pages(spark.createDataFrame([(1, "<main><p>" + "w " * 30 + "<a href=/b>Buy now</a><a href=/c>See</a><img src=a.png><img src=icon.png><img src=b.png alt=B></main><nav><a href=/a>Buy all</a></nav>")], "k int, html string"), ["k"])
+    assert [(r.place, r.label) for r in content.calls_to_action(parsed, ["k"]).orderBy("place").collect()] == [(0, "Buy now"), (1, "Buy all")]
+    assert tuple(content.missing_alternatives(parsed, ["k"]).first()) == (1, 2, 1)
