@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewarp.llm.characters import plain
 from sitewarp.llm.main_body_weights import WEIGHTS
 from sitewarp.llm.mincut import min_cut
 
@@ -129,7 +130,7 @@ def line_features(title: str | None, lines: list[str], places: list) -> list[lis
         if len(_SEPARATORS.findall(line)) > 1:
             f.append("listed")
         if count < 31:
-            low = line.strip().lower()
+            low = " ".join(plain(line).split()).lower()
             f += (worded := [k for k, v in _WORDING.items() if v.search(low)])
             if line.rstrip().endswith(_ENDS) and not worded:
                 f.append("ends")
