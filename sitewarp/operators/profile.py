@@ -31,21 +31,26 @@ def declared_types(page: DataFrame, column: str = "markup") -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
-def page_type(page: DataFrame) -> DataFrame:
-    """(page_id, site, url, page_type, confidence): sure paths first, then declared types, softer paths, and the page's shape."""
+def kind_of(page: DataFrame) -> Column:
+    """struct(page_type, confidence) of a page row: sure paths first, then declared types, softer paths, and the page's shape."""
     url, types = F.coalesce("url", F.lit("")), declared_types(page)
     table = F.create_map(*(F.lit(x) for kv in DECLARED.items() for x in kv))
     hint = F.get(F.filter(F.transform(types, lambda t: F.element_at(table, t)), lambda x: x.isNotNull()), F.lit(0))
     fields = F.aggregate(F.coalesce(F.transform("forms", lambda f: F.coalesce(F.size(f["fields"]), F.lit(0))), F.array().cast("array<int>")), F.lit(0), lambda a, b: a + b)
     typed = lambda name, confidence: F.struct(name.alias("page_type"), F.lit(confidence).alias("confidence"))
     shape = F.when(F.coalesce(F.col("status"), F.lit(0)) != 200, typed(F.lit("utility"), 0.5)).when(F.col("wordcount") >= 500, typed(F.lit("article"), 0.5)).when(fields >= 3, typed(F.lit("contact"), 0.45)).otherwise(typed(F.lit("other"), 0.35))
-    kind = F.coalesce(U.path_type(url, U.SURE), F.when(hint.isNotNull(), typed(hint, 0.92)), U.path_type(url), shape)
+    return F.coalesce(U.path_type(url, U.SURE), F.when(hint.isNotNull(), typed(hint, 0.92)), U.path_type(url), shape)
+
+
+def page_type(page: DataFrame) -> DataFrame:
+    """(page_id, site, url, page_type, confidence) of every page row."""
+    kind = kind_of(page)
     return page.select("page_id", "site", "url", kind["page_type"].alias("page_type"), kind["confidence"].alias("confidence"))
 
 
 def site_signals(page: DataFrame) -> DataFrame:
     """One row of booleans per site. Per-page facts are folded with partial aggregation: one shuffle of one row per task and site."""
-    typed = page.join(page_type(page).select("page_id", "page_type").dropDuplicates(["page_id"]), "page_id")
+    typed = page.withColumn("page_type", kind_of(page)["page_type"])
     body, p, types = F.coalesce("main_text", F.lit("")), F.lower(U.path(F.coalesce("url", F.lit("")))), declared_types(page)
     has = lambda *names: F.arrays_overlap(types, F.array(*map(F.lit, names)))
     facts = typed.select(

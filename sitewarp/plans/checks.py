@@ -80,8 +80,7 @@ EMPTY_HEADINGS = "array<struct<level:int,text:string,pos:int>>"
 
 
 def page_facts(page: DataFrame) -> DataFrame:
-    """One row of comparable facts per page. Nulls count as empty; missing statuses as 0."""
-    kinds = profile.page_type(page).select("page_id", "page_type").dropDuplicates(["page_id"])
+    """One row of comparable facts per page row, from that row alone: no join, no shuffle. Nulls count as empty; missing statuses as 0."""
     h = F.coalesce("headings", F.array().cast(EMPTY_HEADINGS))
     levels = F.array_sort(F.array_distinct(F.transform(h, lambda x: x["level"])))
     days = F.array_compact(F.array(*(T.any_date(F.col(f"dates.{c}")) for c in ("http_last_modified", "sitemap_lastmod", "schema_published", "schema_modified", "visible"))))
@@ -104,9 +103,9 @@ def page_facts(page: DataFrame) -> DataFrame:
         F.size(F.coalesce("links.internal_in_main", none)).cast("bigint").alias("n_in_main"), F.size(F.coalesce("links.internal", none)).cast("bigint").alias("n_internal"),
         F.coalesce(F.map_contains_key("meta", F.lit("viewport")), F.lit(False)).alias("has_viewport"), (F.coalesce("meta_description", F.lit("")) != "").alias("has_description"), F.coalesce(F.size(F.map_keys("markup.opengraph")) > 0, F.lit(False)).alias("has_graph"),
         F.col("canonical").isNotNull().alias("has_canonical"), (T.matches(F.col("text"), "email") | F.coalesce(F.col("text").rlike(r"(^|\n)Tel\. "), F.lit(False))).alias("has_contact"),
-        F.coalesce(F.exists("links.internal", lambda x: x.rlike("(?i)" + T.PATTERNS["policy_path"])), F.lit(False)).alias("has_policy"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("name"),
+        F.coalesce(F.exists("links.internal", lambda x: x.rlike("(?i)" + T.PATTERNS["policy_path"])), F.lit(False)).alias("has_policy"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("name"), profile.kind_of(page)["page_type"].alias("page_type"),
     )
-    return facts.join(kinds, "page_id").withColumn("thin_limit", profile.thin_limit(F.lit("other"), F.col("page_type")).cast("bigint"))
+    return facts.withColumn("thin_limit", profile.thin_limit(F.lit("other"), F.col("page_type")).cast("bigint"))
 
 
 def site_facts(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, facts: DataFrame | None = None) -> DataFrame:
