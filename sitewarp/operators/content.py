@@ -31,22 +31,28 @@ def content_words(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.transform(T.tokens(text), F.lower)), F.array(*map(F.lit, STOP_WORDS)))
 
 
-def page_facts(page: DataFrame, most: int = 12) -> DataFrame:
-    """(page_id, place, fact): statements a page makes about itself, from title parts, first headlines, second headlines and the
-    description, in that order; eight characters and three content words at least, each once, the first ``most``."""
+def statements(most: int = 12) -> Column:
+    """What a page row says about itself, from title parts, first headlines, second headlines and the description, in that order;
+    eight characters and three content words at least, each once, the first ``most``."""
     heads = lambda level, n: F.slice(F.transform(F.filter(F.coalesce("headings", F.array().cast("array<struct<level:int,text:string,pos:int>>")), lambda h: h["level"] == level), lambda h: h["text"]), 1, n)
     said = F.concat(F.coalesce(title_parts(F.col("title")), F.array().cast("array<string>")), heads(1, 2), heads(2, 4), F.array("meta_description"))
     fit = F.filter(said, lambda x: x.isNotNull() & (F.length(x) >= 8) & (F.size(content_words(x)) >= 3))
     lowered = F.transform(fit, F.lower)
     once = F.filter(F.transform(fit, lambda x, i: F.when(F.array_position(lowered, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
-    return page.select("page_id", F.posexplode(F.slice(once, 1, most)).alias("place", "fact"))
+    return F.slice(once, 1, most)
+
+
+def page_facts(page: DataFrame, most: int = 12) -> DataFrame:
+    """(page_id, place, fact) of every page row's statements."""
+    return page.select("page_id", F.posexplode(statements(most)).alias("place", "fact"))
 
 
 def supported_facts(page: DataFrame, target: int = 300, share: float = 0.6) -> DataFrame:
-    """(page_id, place, support, supported): the best share of a fact's content words that one window of the main text carries."""
-    windows = page.select("page_id", T.greedy_windows(F.col("main_text"), target).alias("windows")).dropDuplicates(["page_id"])
-    facts = page_facts(page).withColumn("words", content_words(F.col("fact"))).join(windows, "page_id")
-    best = F.array_max(F.transform("windows", lambda w: F.size(F.array_intersect("words", content_words(w))) / F.size("words")))
+    """(page_id, place, support, supported): the best share of a fact's content words that one window of the main text carries.
+    Facts and windows stand in one row, so nothing is joined."""
+    rows = page.select("page_id", statements().alias("facts"), F.transform(T.greedy_windows(F.col("main_text"), target), content_words).alias("windows"))
+    facts = rows.select("page_id", "windows", F.posexplode(F.transform("facts", content_words)).alias("place", "words"))
+    best = F.array_max(F.transform("windows", lambda w: F.size(F.array_intersect("words", w)) / F.size("words")))
     return facts.select("page_id", "place", F.round(F.coalesce(best, F.lit(0.0)), 4).alias("support")).withColumn("supported", F.col("support") >= share)
 
 
