@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewarp.llm.words import scramble, shingles, word_hashes, words
+from sitewarp.operators.joins import salted_join
 from sitewarp.session import cut_lineage
 
 #: 64 bands of 4 minima: a pair of similarity 0.6 shares a band with probability 1 - (1 - 0.6**4)**64 > 0.9998.
 BANDS, ROWS, BITS = 64, 4, 2
 #: Estimates have a standard deviation under 0.04 with 256 minima of 2 bits: five of them below the threshold is "clearly".
 SLACK = 0.2
-#: Members of a class of exact copies that are written out pair by pair; members of larger classes are each tied to the representative.
-EXPAND = 32
 
 _SEED = np.random.default_rng(20240229)
 _A = _SEED.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -120,13 +119,20 @@ def near_duplicates(rows: DataFrame, key: str, text: str, size: int = 5, thresho
     return similar_representatives(rows, key, text, size, threshold, signed, classes), classes
 
 
-def expanded_pairs(pairs: DataFrame, classes: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """(a, b) between members. Classes of up to ``expand`` copies are written out; of a larger class each copy is
-    tied to its representative, which carries the class's links to other texts."""
-    few = classes.where(f"n <= {expand} or id = rep").select("rep", "id", "n")
-    a, b = few.select(F.col("rep").alias("a"), F.col("id").alias("ia")), few.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    across = pairs.join(a, "a").join(b, "b").select("ia", "ib")
-    small = classes.where(f"n > 1 and n <= {expand}")
-    within = small.select("rep", F.col("id").alias("ia")).join(small.select("rep", F.col("id").alias("ib")), "rep").where("ia < ib").select("ia", "ib")
-    tied = classes.where(f"n > {expand} and id <> rep").select(F.col("rep").alias("ia"), F.col("id").alias("ib"))
-    return across.unionByName(within).unionByName(tied).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+def expanded_pairs(pairs: DataFrame, classes: DataFrame, expand: int | None = None) -> DataFrame:
+    """(a, b), a < b: every pair of members, within classes and across them.
+
+    As many rows as there are such pairs: a class of n copies has n * (n - 1) / 2 of its own. Members of a class are spread over
+    tasks. With ``expand``, classes of more copies are not written out: each copy is tied to its representative, which
+    carries the class's links to other texts.
+    """
+    few = classes if expand is None else classes.where(f"n <= {expand} or id = rep")
+    members = few.select("rep", "id")
+    a, b = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
+    across = salted_join(pairs.join(a, "a"), b, ["b"], spread="ia", how="inner").select("ia", "ib")
+    small = classes.where("n > 1" if expand is None else f"n > 1 and n <= {expand}").select("rep", "id")
+    within = salted_join(small.withColumnRenamed("id", "ia"), small.withColumnRenamed("id", "ib"), ["rep"], spread="ia", how="inner").where("ia < ib").select("ia", "ib")
+    out = across.unionByName(within)
+    if expand is not None:
+        out = out.unionByName(classes.where(f"n > {expand} and id <> rep").select(F.col("rep").alias("ia"), F.col("id").alias("ib")))
+    return out.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))

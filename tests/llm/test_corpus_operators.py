@@ -54,6 +54,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert wide == {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
 
 
+def test_large_classes_are_written_out(spark):
+    """Forty texts with equal shingles in eight spellings, and an edited one: every pair is a case."""
+    text = [f"w{i}" for i in range(60)]
+    spelt = [" ".join(text), ", ".join(text), " ".join(text).upper(), "-".join(text), ". ".join(text), "\n".join(text), "  ".join(text), " ".join(text) + "!"]
+    rows = [(i, spelt[i % 8]) for i in range(40)] + [(40, " ".join([*text[:-1], "other"]))]
+    pairs, classes = near_duplicates.near_duplicates(spark.createDataFrame(rows, "page_id bigint, t string"), "page_id", "t", size=3, threshold=0.6, least_words=40)
+    got = [(r.a, r.b) for r in near_duplicates.expanded_pairs(pairs, classes).collect()]
+    assert sorted(got) == [(a, b) for a in range(41) for b in range(a + 1, 41)]
+
+
 def test_near_duplicates_of_nothing(spark):
     pairs, classes = near_duplicates.near_duplicates(spark.createDataFrame([], "page_id bigint, t string"), "page_id", "t")
     assert pairs.count() == classes.count() == near_duplicates.expanded_pairs(pairs, classes).count() == 0
