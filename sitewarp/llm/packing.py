@@ -1,9 +1,9 @@
 """Texts into containers of fixed token capacity, by lexical retrieval packing.
 
 Every partition is a shard with its own BM25 inverted index over the texts waiting to be packed. The longest waiting
-text is the seed of a container; its best-scoring unused neighbours fill the window greedily, and the last
-gap is closed by the waiting texts that fit it best. Document frequencies and lengths are those of all
-texts. Texts longer than a container are cut at the capacity, all others stay whole.
+text is the seed of a container; its best-scoring unused neighbours fill the window down to the last gap, passing over
+those that would leave a gap which no other neighbours close. Only what no neighbour fits is closed by size alone.
+Document frequencies and lengths are those of all texts. Texts longer than a container are cut at the capacity, all others stay whole.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ CAPACITY = 2048
 BUCKETS = 1 << 18
 #: Items indexed at once; what a full index leaves unpacked waits for the next.
 SHARD = 4096
-#: Query terms of a seed: those of the highest weight.
-QUERY_TERMS = 24
+#: Tokens that a window may lack and still count as closed.
+SLACK = 2
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: A container this full is closed even if the shard may still get items that fit.
@@ -72,6 +72,22 @@ def document_frequencies(items: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, n, total.get(-2, 0) / max(n, 1)
 
 
+def closable(sizes: np.ndarray, gap: int) -> np.ndarray:
+    """Whether a gap of 0, 1, ... ``gap`` tokens is closed, but for SLACK, by none, one or two of ``sizes``, or holds any two with room to spare."""
+    present = np.zeros(gap + 1, dtype=np.uint8)
+    present[sizes] = 1
+    one = int.from_bytes(np.packbits(present, bitorder="little").tobytes(), "little")
+    whole = 1 | one
+    for s in sizes.tolist():
+        whole |= one << s
+    near = whole
+    for k in range(1, SLACK + 1):
+        near |= whole << k
+    out = np.unpackbits(np.frombuffer((near & ((1 << gap + 1) - 1)).to_bytes(gap // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: gap + 1].astype(bool)
+    out[whole.bit_length() :] = True
+    return out
+
+
 class Shard:
     """Waiting items and their inverted index."""
 
@@ -88,9 +104,7 @@ class Shard:
         norm = K1 * (1 - B + B * np.array([x[4] for x in items], dtype=np.float32) / max(mean_words, 1.0))
         weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
         order = np.argsort(terms, kind="stable")
-        self.terms, self.starts = np.unique(terms[order], return_index=True)
-        self.stops = np.append(self.starts[1:], len(order))
-        self.owner, self.weight = owner[order], weight[order]
+        self._index(terms[order], owner[order], weight[order].astype(np.float64))
         self.vectors, self.tf = vectors, tf
         # waiting items by size, longest last in each list
         self.by_size: list[list[int]] = [[] for _ in range(CAPACITY + 1)]
@@ -98,19 +112,30 @@ class Shard:
             self.by_size[self.room[i]].append(i)
         self.available = np.array([len(x) for x in self.by_size], dtype=np.int64)
 
+    def _index(self, term: np.ndarray, owner: np.ndarray, weight: np.ndarray) -> None:
+        """Postings in the order of their terms."""
+        self.term, self.owner, self.weight = term, owner, weight
+        self.terms, self.starts = np.unique(term, return_index=True)
+        self.stops = np.append(self.starts[1:], len(term))
+        self.indexed = int(self.waiting.sum())
+
     def neighbours(self, seed: int) -> np.ndarray:
-        """Waiting items by falling BM25 score against the seed."""
+        """Waiting items by falling BM25 score against the seed, over all of the seed's terms."""
+        if 2 * self.waiting.sum() < self.indexed:  # postings of packed items are of no more use
+            keep = self.waiting[self.owner]
+            self._index(self.term[keep], self.owner[keep], self.weight[keep])
         terms = self.vectors[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        at = np.searchsorted(self.terms, terms)
-        spans = [(self.starts[k], self.stops[k]) for k in at if self.stops[k] - self.starts[k] > 1]
+        if not len(self.terms):
+            return np.empty(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        at = at[self.terms[at] == terms]
+        spans = list(zip(self.starts[at].tolist(), self.stops[at].tolist(), strict=True))
         if not spans:
             return np.empty(0, dtype=np.int64)
         score = np.bincount(np.concatenate([self.owner[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), len(self.items))
         score[~self.waiting] = 0
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
     def take(self, i: int) -> None:
         self.waiting[i] = False
@@ -140,22 +165,33 @@ class Shard:
                 return [small, total - small]
         return [best] if best else []
 
+    def retrieve(self, seed: int, gap: int) -> list[int]:
+        """The neighbours that fill ``gap``: each the best-scoring one that leaves no gap, or one that one or two others close,
+        or room for more; where there is none such, the longest that fits."""
+        found, out = self.neighbours(seed), []
+        found = found[self.room[found] <= gap]
+        closed = closable(np.unique(self.room[found]), gap)
+        while gap > SLACK and len(found):
+            fit = closed[gap - self.room[found]]
+            i = int(found[np.argmax(fit) if fit.any() else np.argmax(self.room[found])])
+            out.append(i)
+            self.take(i)
+            gap -= int(self.room[i])
+            found = found[(self.room[found] <= gap) & (found != i)]
+        return out
+
     def pack(self, last: bool) -> tuple[list[list[int]], list[int]]:
         """(full containers, items left waiting). With ``last`` nothing is left."""
-        out, typical = [], int(np.median(self.room)) if len(self.items) else 0
+        out = []
         for seed in np.lexsort((np.arange(len(self.items)), -self.room)):
             if not self.waiting[seed]:
                 continue
             self.take(seed)
             window, gap = [int(seed)], CAPACITY - int(self.room[seed])
-            if gap > 2 * typical:
-                for i in self.neighbours(seed):
-                    if self.room[i] <= gap:
-                        self.take(i)
-                        window.append(int(i))
-                        gap -= int(self.room[i])
-                        if gap <= 2 * typical:
-                            break
+            if self.available[: gap + 1].any():
+                near = self.retrieve(int(seed), gap)
+                window += near
+                gap -= int(self.room[near].sum())
             while gap and (sizes := self.closing(gap)):
                 for size in sizes:
                     window.append(self.pop(size))

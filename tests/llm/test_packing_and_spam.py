@@ -66,6 +66,16 @@ def test_sizes_that_do_not_combine(monkeypatch):
     assert not full and sorted(x for w in shard.loose(left) for x in w) == list(range(8))
 
 
+def test_neighbours_fill_the_last_gap():
+    """Every seed gets the neighbour that shares its terms, however long the seed and whichever of its terms they share."""
+    seeds = [_item(i, 1148, range(100 * i, 100 * i + 40)) for i in range(10)]
+    texts = [_item(10 + i, 900, range(100 * (9 - i) + 30, 100 * (9 - i) + 50)) for i in range(10)]
+    idf = np.ones(packing.BUCKETS, dtype=np.float32)
+    idf[[100 * i + k for i in range(10) for k in range(30)]] = 2
+    shard = packing.Shard(seeds + texts, idf, 30.0)
+    assert sorted(shard.pack(last=True)[0]) == [[i, 19 - i] for i in range(10)]
+
+
 def test_token_counts():
     for t in ("", "Hello  world's 123", "Ünï 中文 👩‍🔧", "a" * 5000, " " * 3000 + "x"):
         assert count_tokens(t) == len(encoding().encode_ordinary(t)) and encoding().decode(encoding().encode_ordinary(t)) == t
