@@ -1,6 +1,7 @@
 """Texts into containers of fixed token capacity, by lexical retrieval packing.
 
-Every partition is a shard with its own BM25 inverted index over the texts waiting to be packed. The longest waiting
+Texts are spread over partitions by hash. Every partition is packed in shards, each with its own BM25 inverted index over
+the texts waiting to be packed; windows that a shard cannot fill stay open for the next. The longest waiting
 text is the seed of a container; its best-scoring unused neighbours fill the window down to the last gap, passing over
 those that would leave a gap which no other neighbours close. Only what no neighbour fits is closed by size alone.
 Document frequencies and lengths are those of all texts. Texts longer than a container are cut at the capacity, all others stay whole.
@@ -23,7 +24,7 @@ from sitewarp.session import cut_lineage
 CAPACITY = 2048
 #: Terms are counted under this many hash buckets, so the table of document frequencies has a fixed size (2 MB).
 BUCKETS = 1 << 18
-#: Items indexed at once; what a full index leaves unpacked waits for the next.
+#: Items indexed at once; windows that they do not fill stay open.
 SHARD = 4096
 #: Tokens that a window may lack and still count as closed.
 SLACK = 2
@@ -89,12 +90,12 @@ def closable(sizes: np.ndarray, gap: int) -> np.ndarray:
 
 
 class Shard:
-    """Waiting items and their inverted index."""
+    """Waiting items and their inverted index. The first ``opened`` items are open windows: seeds, but never neighbours."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, mean_words: float):
-        self.items = items
+    def __init__(self, items: list[tuple], idf: np.ndarray, mean_words: float, opened: int = 0):
+        self.items, self.opened = items, opened
         self.room = np.array([x[3] for x in items], dtype=np.int64)
-        self.waiting = np.ones(len(items), dtype=bool)
+        self.waiting = np.arange(len(items)) >= opened
         self.idf = idf
         vectors = [np.frombuffer(x[5], dtype=np.int32) for x in items]
         sizes = np.array([len(v) for v in vectors], dtype=np.int64)
@@ -104,11 +105,12 @@ class Shard:
         norm = K1 * (1 - B + B * np.array([x[4] for x in items], dtype=np.float32) / max(mean_words, 1.0))
         weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
         order = np.argsort(terms, kind="stable")
+        order = order[owner[order] >= opened]
         self._index(terms[order], owner[order], weight[order].astype(np.float64))
         self.vectors, self.tf = vectors, tf
         # waiting items by size, longest last in each list
         self.by_size: list[list[int]] = [[] for _ in range(CAPACITY + 1)]
-        for i in reversed(range(len(items))):
+        for i in reversed(range(opened, len(items))):
             self.by_size[self.room[i]].append(i)
         self.available = np.array([len(x) for x in self.by_size], dtype=np.int64)
 
@@ -181,18 +183,19 @@ class Shard:
         return out
 
     def pack(self, last: bool) -> tuple[list[list[int]], list[int]]:
-        """(full containers, items left waiting). With ``last`` nothing is left."""
+        """(full containers, items left in others). With ``last`` nothing is left."""
         out = []
         for seed in np.lexsort((np.arange(len(self.items)), -self.room)):
-            if not self.waiting[seed]:
-                continue
-            self.take(seed)
+            if seed >= self.opened:
+                if not self.waiting[seed]:
+                    continue
+                self.take(seed)
             window, gap = [int(seed)], CAPACITY - int(self.room[seed])
             if self.available[: gap + 1].any():
                 near = self.retrieve(int(seed), gap)
                 window += near
                 gap -= int(self.room[near].sum())
-            while gap and (sizes := self.closing(gap)):
+            while self.available[: gap + 1].any() and (sizes := self.closing(gap)):
                 for size in sizes:
                     window.append(self.pop(size))
                     gap -= size
@@ -203,18 +206,57 @@ class Shard:
         full = [w for w in out if self.room[w].sum() >= FULL * CAPACITY]
         return full, [i for w in out if self.room[w].sum() < FULL * CAPACITY for i in w]
 
-
     def loose(self, left: list[int]) -> list[list[int]]:
-        """The containers that the items left waiting were put into."""
+        """The containers that the items left were put into."""
         kept = set(left)
         return [w for w in self.windows if w[0] in kept]
 
 
+def filled(batches: Iterator[pd.DataFrame], idf: np.ndarray, mean_words: float, number: int = 0) -> Iterator[pd.DataFrame]:
+    """The containers of a partition, numbered from ``number``.
+
+    A window that its shard cannot fill stays open, with its members' places and the terms of its seed, until a later shard
+    fills it or the partition ends. Of two windows that stay open the one's members never fit the other, so at most
+    one is half empty or more: its texts wait again.
+    """
+    waiting: list[tuple] = []
+    opened: list[tuple] = []
+
+    def flush(last: bool) -> pd.DataFrame:
+        nonlocal number, waiting, opened
+        items, n = [*opened, *waiting], len(opened)
+        shard = Shard(items, idf, mean_words, n)
+        windows, left = shard.pack(last)
+        members = lambda window: [m for i in window for m in (items[i][0] if i < n else [items[i][:4]])]
+        rows = []
+        for window in windows:
+            rows += [(number, *m, place) for place, m in enumerate(members(window))]
+            number += 1
+        waiting, opened = [], []
+        for window in shard.loose(left):
+            size = int(shard.room[window].sum())
+            if 2 * size <= CAPACITY and window[0] >= n:
+                waiting += [items[i] for i in window]
+            else:
+                opened.append((members(window), 0, 0, size, *items[window[0]][4:]))
+        return pd.DataFrame(rows, columns=["container_id", "doc_id", "piece", "start_token", "n_tokens", "place"])
+
+    for batch in batches:
+        for doc_id, tokens, n_words, terms, counts in batch.itertuples(index=False):
+            for piece, start in enumerate(range(0, tokens, CAPACITY)):
+                waiting.append((doc_id, piece, start, min(CAPACITY, tokens - start), n_words, terms, counts))
+            if len(waiting) >= SHARD:
+                yield flush(last=False)
+    if waiting or opened:
+        yield flush(last=True)
+
+
 def packed(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(container_id, doc_id, piece, start_token, n_tokens, place): where every text, or piece of a text, stands.
 
     Pieces of a text longer than a container are numbered from 0 and start at ``start_token``; whole texts are piece 0.
-    Null and empty texts take no room and have no row; repeated rows are items of their own. No shuffle of texts.
+    Null and empty texts take no room and have no row; repeated rows are items of their own. Texts themselves are not
+    shuffled, only their sizes and terms.
     """
     items = cut_lineage(measured(documents, vocabulary))
     df, n, mean_words = document_frequencies(items)
@@ -222,33 +264,12 @@ def packed(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = TaskContext.get().partitionId() << 33
-        waiting: list[tuple] = []
-
-        def flush(last: bool) -> pd.DataFrame:
-            nonlocal number, waiting
-            shard = Shard(waiting, sent.value, mean_words)
-            windows, left = shard.pack(last)
-            if len(left) > SHARD // 2:  # sizes that do not combine: waiting longer would not help
-                windows, left = [*windows, *shard.loose(left)], []
-            rows = []
-            for window in windows:
-                for place, i in enumerate(window):
-                    rows.append((number, *waiting[i][:4], place))
-                number += 1
-            waiting = [waiting[i] for i in left]
-            return pd.DataFrame(rows, columns=["container_id", "doc_id", "piece", "start_token", "n_tokens", "place"])
+        return filled(batches, sent.value, mean_words, TaskContext.get().partitionId() << 33)
 
-        for batch in batches:
-            for doc_id, tokens, n_words, terms, counts in batch.itertuples(index=False):
-                for piece, start in enumerate(range(0, tokens, CAPACITY)):
-                    waiting.append((doc_id, piece, start, min(CAPACITY, tokens - start), n_words, terms, counts))
-                if len(waiting) >= SHARD:
-                    yield flush(last=False)
-        if waiting:
-            yield flush(last=True)
-
-    return items.mapInPandas(run, ASSIGNMENT)
+    # sizes that lie together in the files would leave room in one place that texts of another fill
+    order = F.xxhash64("doc_id", "terms")
+    spread = items.withColumn("order", order).repartition(max(items.rdd.getNumPartitions(), 1), "order").sortWithinPartitions("order", "doc_id", "n_tokens")
+    return spread.drop("order").mapInPandas(run, ASSIGNMENT)
 
 
 def fill_report(assignment: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sitewarp.llm import keyword_spam, packing
@@ -76,6 +77,16 @@ def test_neighbours_fill_the_last_gap():
     assert sorted(shard.pack(last=True)[0]) == [[i, 19 - i] for i in range(10)]
 
 
+def test_open_windows_wait_for_later_texts(monkeypatch):
+    """Texts of 1,100 tokens that lie together leave room for those of 948 tokens that follow shards later."""
+    monkeypatch.setattr(packing, "SHARD", 64)
+    rows = [(i, 1100 if i < 320 else 948, 1, np.array([i % 320], dtype=np.int32).tobytes(), b"\1") for i in range(640)]
+    batches = (pd.DataFrame(rows[i : i + 50], columns=["doc_id", "n_tokens", "n_words", "terms", "counts"]) for i in range(0, 640, 50))
+    got = pd.concat(packing.filled(batches, np.ones(packing.BUCKETS, dtype=np.float32), 1.0))
+    load = got.groupby("container_id").n_tokens.sum()
+    assert len(load) == 320 and (load == 2048).all() and sorted(got.doc_id) == list(range(640))
+
+
 def test_token_counts():
     for t in ("", "Hello  world's 123", "Ünï 中文 👩‍🔧", "a" * 5000, " " * 3000 + "x"):
         assert count_tokens(t) == len(encoding().encode_ordinary(t)) and encoding().decode(encoding().encode_ordinary(t)) == t
