@@ -23,6 +23,8 @@ _SELECTORS = chr(0xFE0E) + chr(0xFE0F)
 _LATIN_OF = {"Cyrl": dict(zip(CYRILLIC, CYRILLIC_AS_LATIN, strict=True)), "Grek": dict(zip(GREEK, GREEK_AS_LATIN, strict=True))}
 _OF_LATIN = {script: {b: a for a, b in table.items()} for script, table in _LATIN_OF.items()}
 _SKELETON = {ord(a): b for table in _LATIN_OF.values() for a, b in table.items()}
+# Small letters that look like no Latin letter share the target of their capital, so that case does not matter.
+_SKELETON |= {ord(a.lower()): b.lower() for table in _LATIN_OF.values() for a, b in table.items() if ord(a.lower()) not in _SKELETON}
 _DROP = dict.fromkeys(map(ord, WIDTHLESS))
 
 

@@ -31,3 +31,9 @@ def test_operator(spark):
     assert clean[900] == (None, None) and clean[901] == ("", "x" * 50_000)
     assert L.consistent_text(page, "page_id", ["title", "text"]).count() == len(rows)
     assert L.odd_fields(spark.createDataFrame([], page.schema), "page_id", ["title", "text"]).count() == 0
+
+
+def test_case_of_other_alphabets_does_not_matter():
+    for word in ("когда", "вкмнт", "τμήμα", "βζημ"):
+        assert fold(word) == fold(word.upper())
+    assert fold("Вооk Тhe") == fold("Book The") == "book the"
