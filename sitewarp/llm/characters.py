@@ -130,3 +130,5 @@ def fold(text: str) -> str:
 
 #: Java regex of texts that may hold a character that is not plain: a superset, so that the rest never leaves the JVM.
 SUSPECT = "[\\p{M}\\p{Cf}\\x{115F}\\x{1160}" + SPACES + _ranges(SHAPES) + "]|\\p{IsLatin}[\\p{IsCyrillic}\\p{IsGreek}]|[\\p{IsCyrillic}\\p{IsGreek}]\\p{IsLatin}|\\p{IsCyrillic}\\p{IsGreek}|\\p{IsGreek}\\p{IsCyrillic}"
+#: Inside of a Java character class: what a collation may leave out of account.
+IGNORED = "\\p{Cf}\\p{Cc}\\x{34F}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{2065}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FFA0}\\x{FFF0}-\\x{FFF8}\\x{E0000}-\\x{E0FFF}"

@@ -8,6 +8,8 @@ test strings that are then compared word by word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from sitewarp.llm.words import WORD
 
 SPAN, BLOCK = 13, 3
 #: Characters of test items searched for in one pass over the corpus; more items take further passes.
-PASS_CHARS = 32_000_000
+PASS_CHARS = 4_000_000
 
 
 def folded_words(text: str) -> list[str]:
@@ -65,6 +67,18 @@ class BlockShiftTables:
         return [self.items[at][0] for at in sorted(found)]
 
 
+#: The tables of the last pass that this worker process took part in.
+_LAST: dict[str, BlockShiftTables] = {}
+
+
+def _tables(name: str, sent, span: int) -> BlockShiftTables:
+    """The tables of the pass ``name``, built once per worker process rather than once per task."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = BlockShiftTables(sent.value, span)
+    return _LAST[name]
+
+
 def leaked_items(documents: DataFrame, eval_items: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, item_id): every document and test item that share at least ``span`` consecutive words.
 
@@ -72,33 +86,30 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, span: int = SPAN)
     share nothing; repeated rows give one row. The test set does not grow with the corpus: it is sent to the
     executors in passes of bounded size, so any number of items is searched for. One narrow pass over the corpus each.
     """
-    items = eval_items.where("text is not null and item_id is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator()
-    passes, size = [[]], 0
-    for r in items:
-        if size > PASS_CHARS:
-            passes.append([])
-            size = 0
-        passes[-1].append((r.item_id, r.text))
-        size += len(r.text)
-
     corpus = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
     context = documents.sparkSession.sparkContext
 
     def one_pass(items: list[tuple[int, str]]) -> DataFrame:
-        sent = context.broadcast(items)
+        sent, name = context.broadcast(items), uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tables = BlockShiftTables(sent.value, span)
+            tables = _tables(name, sent, span)
             for batch in batches:
                 rows = [(d, i) for d, t in zip(batch.doc_id, batch.text, strict=True) for i in tables.search(t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
         return corpus.mapInPandas(run, "doc_id bigint, item_id bigint")
 
-    out = one_pass(passes[0])
-    for more in passes[1:]:
-        out = out.unionByName(one_pass(more))
-    return out.distinct()
+    passes, waiting, size = [], [], 0
+    for r in eval_items.where("text is not null and item_id is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator():
+        waiting.append((r.item_id, r.text))
+        size += len(r.text)
+        if size > PASS_CHARS:
+            passes.append(one_pass(waiting))
+            waiting, size = [], 0
+    if waiting or not passes:
+        passes.append(one_pass(waiting))
+    return reduce(DataFrame.unionByName, passes).distinct()
 
 
 def leak_report(leaks: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sitewarp.llm.characters import SUSPECT, plain
+from sitewarp.llm.characters import IGNORED, SUSPECT, plain
 from sitewarp.operators.joins import salted_join
 from sitewarp.session import cut_lineage
 
 TOKENS = r"[^ \t\r\n]+"
 PIECES = r"[^ \t\r\n]+|[ \t\r\n]+"
+#: Stands for a character without width where tokens are collated: a noncharacter, which no text may hold and every collation sees.
+MARK = chr(0xFDD0)
 
 
 @F.pandas_udf(StringType())
@@ -42,13 +44,17 @@ def canonical_members(tokens: DataFrame) -> DataFrame:
     """(token, canonical) for each distinct ``token``.
 
     The members of a class are the tokens met and their plain forms; all whose plain forms are equal under the
-    UNICODE collation (accents and case count, composition and ignorable characters do not) are one class. The
-    canonical member is a plain one, the least by code points; ties cannot occur among distinct strings.
+    UNICODE collation (accents and case count, composition does not) are one class. The collation does not see joiners,
+    selectors and other characters without width; those that a plain form keeps are needed, so they count as well, by
+    their place (a visible mark stands for each in the collated string) and by their sequence. Which tokens
+    else are met therefore never takes a needed joiner from a token. The canonical member is a plain one, the least by
+    code points; ties cannot occur among distinct strings.
     """
-    mapped = tokens.select("token").distinct().withColumn("mapped", _plain("token"))
-    members = mapped.select("mapped", "token", F.array("token", "mapped").alias("both")).select("mapped", "token", F.explode("both").alias("member"))
-    classes = members.groupBy(F.collate("mapped", "UNICODE").alias("class")).agg(F.min(F.struct((F.col("member") != F.col("mapped")).alias("odd"), "member"))["member"].alias("canonical"))
-    return mapped.withColumn("class", F.collate("mapped", "UNICODE")).join(classes, "class").select("token", "canonical")
+    mapped = cut_lineage(tokens.select("token").distinct().withColumn("mapped", _plain("token")))
+    key = [F.collate(F.regexp_replace("mapped", f"[{IGNORED}]", MARK), "UNICODE").alias("class"), F.regexp_replace("mapped", f"[^{IGNORED}]", "").alias("kept")]
+    members = mapped.select(*key, "mapped", F.explode(F.array("token", "mapped")).alias("member"))
+    classes = members.groupBy("class", "kept").agg(F.min(F.struct((F.col("member") != F.col("mapped")).alias("odd"), "member"))["member"].alias("canonical"))
+    return mapped.select("token", *key).join(classes, ["class", "kept"]).select("token", "canonical")
 
 
 def odd_tokens(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

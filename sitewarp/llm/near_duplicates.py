@@ -29,6 +29,8 @@ _SEED = np.random.default_rng(20240229)
 _A = _SEED.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _SEED.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _BLOCK = 4096
+#: Texts of one band key that a task pairs with all others of the key.
+SPREAD = 512
 
 SIGNATURE = "id bigint, digest binary, bands array<bigint>, planes array<bigint>"
 
@@ -95,9 +97,13 @@ def copy_classes(signed: DataFrame) -> DataFrame:
 def similar_representatives(rows: DataFrame, key: str, text: str, size: int, threshold: float, signed: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, similarity), a < b: pairs of class representatives with a shingle similarity of at least ``threshold``."""
     reps = signed.join(classes.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
+    # Only keys that two texts share make pairs; the texts of a key are spread over one task for every SPREAD of them.
     banded = reps.select("id", F.explode("bands").alias("band"))
-    left, right = banded.select("band", F.col("id").alias("a")), banded.select("band", F.col("id").alias("b"))
-    pairs = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / SPREAD).cast("int").alias("salts"))
+    banded = banded.join(shared, "band")
+    left = banded.select("band", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("a"))
+    right = banded.select("band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"))
+    pairs = left.join(right, ["band", "salt"]).where("a < b").select("a", "b").distinct()
     planes = reps.select("id", "planes")
     near = pairs.join(planes.select(F.col("id").alias("a"), F.col("planes").alias("pa")), "a").join(planes.select(F.col("id").alias("b"), F.col("planes").alias("pb")), "b")
     near = cut_lineage(near.where(estimated_similarity("pa", "pb") >= threshold - SLACK).select("a", "b"))
@@ -136,3 +142,34 @@ def expanded_pairs(pairs: DataFrame, classes: DataFrame, expand: int | None = No
     if expand is not None:
         out = out.unionByName(classes.where(f"n > {expand} and id <> rep").select(F.col("rep").alias("ia"), F.col("id").alias("ib")))
     return out.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, group) of every id in ``edges`` (a, b): the least id that it is linked to over any number of edges.
+
+    Large and small stars in turn until no edge changes, which takes about the logarithm of a component's size in rounds; every
+    round is checkpointed. Links of a hub are spread over tasks and never gathered in one row. Repeated edges, loops and
+    nulls are dropped.
+    """
+    out = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = out.unionByName(out.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = salted_join(both.where("v > u"), least, ["u"], spread="v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = salted_join(large, least, ["u"], spread="v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        out = cut_lineage(small)
+        now = out.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before:
+            break
+        before = now
+    return out.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(out.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
+
+
+def grouped(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, rep, group, n_group): every row's class of copies, and the group of all rows linked to it through similar ones.
+    A row similar to no other is a group of its own."""
+    linked = components(pairs).withColumnRenamed("id", "rep")
+    rows = salted_join(classes, linked, ["rep"], spread="id", how="left").select("id", "rep", F.coalesce("group", "rep").alias("group"))
+    return salted_join(rows, rows.groupBy("group").agg(F.count("*").alias("n_group")), ["group"], spread="id")

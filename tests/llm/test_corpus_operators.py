@@ -108,3 +108,14 @@ def test_altered_forms_leak():
     wide = passage.replace("survey", "ｓｕｒｖｅｙ").replace("Jessamy", "Jes" + chr(0x200B) + "samy").replace(" at ", chr(0xA0) + "at -- ").replace("noted", "nоted")
     assert tables.search(wide.upper()) == tables.search(passage.lower()) == [7]
     assert tables.search(passage.replace("noted", "says")) == []
+
+
+def test_components_and_groups(spark):
+    """A chain, a hub, a loop, repeated edges; no edges at all."""
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 1000 + i) for i in range(300)] + [(5, 5), (3, 2), (2, 3), (2, 3), (3, 1), (None, 4)]
+    got = {r.id: r.group for r in near_duplicates.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in (7, *range(1000, 1300))} | {1: 1, 2: 1, 3: 1}
+    assert near_duplicates.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 5, 0.7)], "a bigint, b bigint, similarity double")
+    classes = spark.createDataFrame([(1, 1, 2), (3, 1, 2), (2, 2, 1), (5, 5, 1), (9, 9, 1)], "id bigint, rep bigint, n bigint")
+    assert {(r.id, r.group, r.n_group) for r in near_duplicates.grouped(pairs, classes).collect()} == {(1, 1, 4), (3, 1, 4), (2, 1, 4), (5, 1, 4), (9, 9, 1)}

@@ -37,3 +37,19 @@ def test_case_of_other_alphabets_does_not_matter():
     for word in ("когда", "вкмнт", "τμήμα", "βζημ"):
         assert fold(word) == fold(word.upper())
     assert fold("Вооk Тhe") == fold("Book The") == "book the"
+
+
+def test_needed_joiners_do_not_depend_on_other_texts(spark):
+    """Tokens that differ only in a joiner, selector or tag which one of them needs: alone or together, none is changed."""
+    zwnj, zwj, vs = N["ZWNJ"], N["ZWJ"], chr(0xFE0F)
+    england, scotland = ("\U0001f3f4" + "".join(chr(0xE0000 + ord(c)) for c in name) + chr(0xE007F) for name in ("gbeng", "gbsct"))
+    tokens = [f"👁{vs}{zwj}🗨{vs}", f"👁{zwj}🗨", f"می{zwnj}رسند", "میرسند", f"ميـ{zwnj}ر{zwnj}سند", f"क्{zwj}ष", "क्ष", f"क्{zwnj}ष", f"1{vs}", "1", f"❤{vs}", "❤", england, scotland, "\U0001f3f4"]
+    rows = spark.createDataFrame(list(enumerate(tokens)), "page_id bigint, title string")
+    assert L.odd_fields(rows, "page_id", ["title"]).count() == 0
+    for i in range(0, len(tokens), 5):
+        assert L.odd_fields(rows.where(f"page_id = {i}"), "page_id", ["title"]).count() == 0
+    assert {r.page_id: r.title for r in L.consistent_text(rows, "page_id", ["title"]).collect()} == dict(enumerate(tokens))
+    # an odd member beside them still comes out as its own plain form
+    odd = rows.unionByName(spark.createDataFrame([(90, f"{N['ZWSP']}می{zwnj}رسند"), (91, "میر" + N["SHY"] + "سند")], "page_id bigint, title string"))
+    got = {r.page_id: r.title for r in L.consistent_text(odd, "page_id", ["title"]).collect()}
+    assert got[90] == f"می{zwnj}رسند" and got[91] == "میرسند" and all(got[i] == t for i, t in enumerate(tokens))
