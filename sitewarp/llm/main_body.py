@@ -1,8 +1,9 @@
 """The main body of a page among menus, notices, sidebars and footers, by minimum-cut labelling.
 
-Every visible line is a node. A linear classifier over the line's shape, wording and place in the DOM gives
-its terminal capacities; edges to the next line and to a hub per DOM container give smoothness. The minimum
-cut labels all lines of a page at once.
+Every visible line is a node, and so is every DOM container that holds lines. One linear classifier over a line's shape, tag
+and wording gives the terminal capacities of lines, another over a container's content and place those of containers;
+edges to the next line and from each line to its container give smoothness. Neither classifier sees what the other sees:
+the minimum cut settles at once which containers are content and which lines go against their container.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewarp.llm.characters import plain
-from sitewarp.llm.main_body_weights import WEIGHTS
+from sitewarp.llm.main_body_weights import CONTAINER_WEIGHTS, LINE_WEIGHTS
 from sitewarp.llm.mincut import min_cut
+from sitewarp.llm.phrases import Phrases
 
-#: Smoothness between neighbouring lines and within a DOM container, in the classifier's log-odds.
-ADJACENT, CONTAINER = 0.3, 0.6
+#: Smoothness between neighbouring lines and between a line and its container, in the line classifier's log-odds, which
+#: is fitted beside the latter; and the weight, per line, of a container's own log-odds.
+ADJACENT, CONTAINER, PER_LINE = 0.2, 5.0, 10.0
 
 # Wording of page furniture in the languages of the corpus.
 WORDING = {
@@ -39,7 +42,7 @@ WORDING = {
     "promotion": r"^(?:free delivery|rated \d|back in stock|now open|versand frei|livraison offerte|envío gratis|бесплатная доставка)",
     "scripts": r"javascript|\bscripts?\b|scripting|скрипт",
 }
-_WORDING = {k: re.compile(v) for k, v in WORDING.items()}
+_WORDING = Phrases(WORDING)
 _TAG = re.compile(r"<(?:!--.*?-->|(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)>)([^<]*)", re.S)
 _LETTERS = re.compile(r"[\W_]+")
 _ENDS = tuple(".!?…。！।")
@@ -105,63 +108,74 @@ def placed(lines: list[str], html: str | None) -> list[tuple[int, str, frozenset
     return out
 
 
-def line_features(title: str | None, lines: list[str], places: list) -> list[list[str]]:
-    """The names of the features that hold for each line."""
-    home = {p[0] for p in places if p and p[1] == "h1"}
-    words = [len(x.split()) for x in lines]
-    share: dict[int, int] = {}
-    for p, n in zip(places, words, strict=True):
+def containers(places: list) -> dict[int, list[int]]:
+    """The lines of each DOM container."""
+    out: dict[int, list[int]] = {}
+    for i, p in enumerate(places):
         if p:
-            share[p[0]] = share.get(p[0], 0) + n
-    total = sum(words) or 1
+            out.setdefault(p[0], []).append(i)
+    return out
+
+
+def line_features(title: str | None, lines: list[str], places: list) -> list[list[str]]:
+    """The names of the features that hold for each line, of any length: its shape, tag, wording and place on the page."""
     name = _LETTERS.sub("", title or "").lower()
     out, n = [], len(lines)
-    for i, (line, place, count) in enumerate(zip(lines, places, words, strict=True)):
-        f = ["bias", "w1" if count < 3 else "w3" if count < 7 else "w7" if count < 13 else "w13"]
-        if place is None:
-            f.append("unplaced")
-        else:
-            box, kind, roles = place
-            f.append("tag:" + kind)
-            f += ["role:" + r for r in roles]
-            f.append("home" if box in home else "away" if home else "homeless")
-            if share[box] > 0.5 * total:
-                f.append("bulk")
+    for i, (line, place) in enumerate(zip(lines, places, strict=True)):
+        count = len(line.split())
+        f = ["bias", "w1" if count < 3 else "w3" if count < 7 else "w7" if count < 13 else "w13" if count < 31 else "w31"]
+        f.append("tag:" + place[1] if place else "unplaced")
+        low = " ".join(plain(line).split()).lower()
+        f += (worded := _WORDING.matching(low))
         if len(_SEPARATORS.findall(line)) > 1:
             f.append("listed")
-        if count < 31:
-            low = " ".join(plain(line).split()).lower()
-            f += (worded := [k for k, v in _WORDING.items() if v.search(low)])
-            if line.rstrip().endswith(_ENDS) and not worded:
-                f.append("ends")
-            if count > 1 and name and (letters := _LETTERS.sub("", low)) and letters in name:
-                f.append("titled")
-        elif line.rstrip().endswith(_ENDS):
+        if not worded and low.endswith(_ENDS):
             f.append("ends")
+        if count > 1 and name and (letters := _LETTERS.sub("", low)) and letters in name:
+            f.append("titled")
         f.append("top" if i * 5 < n else "end" if (n - 1 - i) * 5 < n else "middle")
-        if "scripts" in f and not home:
-            f.append("homeless scripts")
         out.append(f)
     return out
 
 
-def body_lines(title: str | None, text: str | None, html: str | None, weights: dict[str, float] | None = None) -> list[int]:
-    """The numbers, from 1, of the non-blank lines that belong to the main body."""
-    if not text:
-        return []
-    weights = WEIGHTS if weights is None else weights
-    numbers = [(i, x) for i, x in enumerate(text.split("\n"), 1) if x.strip()]
-    lines = [x for _, x in numbers]
+def container_features(lines: list[str], places: list, features: list[list[str]]) -> list[tuple[list[int], list[str]]]:
+    """(its lines, the names of the features that hold) for each container."""
+    words = [len(x.split()) for x in lines]
+    total, headed, out = sum(words) or 1, any(p and p[1] == "h1" for p in places), []
+    for members in containers(places).values():
+        held = sum(words[i] for i in members)
+        scripts = any("scripts" in features[i] for i in members)
+        f = ["bias", "headline" if any(places[i][1] == "h1" for i in members) else "beside" if headed else "no headline scripts" if scripts else "no headline"]
+        f += ["role:" + r for r in places[members[0]][2]]
+        if held > 0.5 * total:
+            f.append("bulk")
+        if 2 * sum(places[i][1] in ("link", "a") for i in members) > len(members):
+            f.append("links")
+        if 2 * sum(words[i] for i in members if words[i] > 12) > held:
+            f.append("prose")
+        out.append((members, f))
+    return out
+
+
+def labels(title: str | None, lines: list[str], html: str | None, cut: bool = True) -> list[bool]:
+    """Whether each line is main body. Without ``cut``, by the line classifier alone, to tell what the cut does."""
     places = placed(lines, html)
-    unary = [sum(weights.get(k, 0.0) for k in f) for f in line_features(title, lines, places)]
+    features = line_features(title, lines, places)
+    unary = [sum(LINE_WEIGHTS.get(k, 0.0) for k in f) for f in features]
     n = len(lines)
+    if not cut:
+        return [u > 0 for u in unary]
     edges = [(i, i + 1, ADJACENT if not (places[i] and places[i + 1]) or places[i][0] == places[i + 1][0] else ADJACENT / 4) for i in range(n - 1)]
-    hubs: dict[int, int] = {}
-    for i, p in enumerate(places):
-        if p:
-            edges.append((i, n + hubs.setdefault(p[0], len(hubs)), CONTAINER))
-    labels = min_cut(unary + [0.0] * len(hubs), edges)
-    return [k for (k, _), keep in zip(numbers, labels, strict=False) if keep]
+    for members, f in container_features(lines, places, features):
+        edges += [(i, len(unary), CONTAINER) for i in members]
+        unary.append(PER_LINE * len(members) * sum(CONTAINER_WEIGHTS.get(k, 0.0) for k in f))
+    return min_cut(unary, edges)[:n]
+
+
+def body_lines(title: str | None, text: str | None, html: str | None, cut: bool = True) -> list[int]:
+    """The numbers, from 1, of the non-blank lines that belong to the main body."""
+    numbers = [(i, x) for i, x in enumerate((text or "").split("\n"), 1) if x.strip()]
+    return [i for (i, _), keep in zip(numbers, labels(title, [x for _, x in numbers], html, cut), strict=True) if keep]
 
 
 def pages_with_html(page: DataFrame, page_raw: DataFrame, columns: list[str]) -> DataFrame:
