@@ -37,6 +37,8 @@ LEAST_RUN = 5
 SALAD, MOST, UNSEEN = 2.25, 3.0, -1.0
 #: Share of neighbouring pairs that stand at least three times in the run, and of words in links, from which a run is stuffing.
 REPEATED, LINKED = 0.2, 0.5
+#: Words of the filter of wanted keys (16 MB), a power of two, and the shifts at which a key's bits are read for it.
+FILTER_WORDS, PROBES = 1 << 21, (0, 32)
 
 _LINK = re.compile(r"(?:https?://|www\.)[^\s)\]>]+|#\w{3,}")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
@@ -55,9 +57,28 @@ def _keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scramble(hashes * _WORD), scramble(hashes[:-1] * _PAIR_A + hashes[1:] * _PAIR_B)
 
 
-def corpus_counts(documents: DataFrame) -> DataFrame:
-    """(key, n): occurrences of every word and of every pair of neighbouring words, and under key 0 of all words.
-    Counted per batch before the shuffle."""
+def wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the distinct keys, FILTER_WORDS words of 64 bits and so of fixed size however many they are: its words are
+    OR-ed before they reach the driver. A full one only lets more keys through to the exact join."""
+    probes = F.array(*(F.shiftrightunsigned("key", at).bitwiseAND(64 * FILTER_WORDS - 1) for at in PROBES))
+    words = wanted.select(F.explode(probes).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_WORDS, dtype=np.uint64)
+    out[words.word.to_numpy()] = words.bits.to_numpy().view(np.uint64)
+    return out
+
+
+def _may_hold(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(keys), dtype=bool)
+    for at in PROBES:
+        bit = (keys >> np.uint64(at)) & np.uint64(64 * FILTER_WORDS - 1)
+        hit &= (bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
+def corpus_counts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, n): occurrences in all documents of every wanted word and pair of neighbouring words, and under key 0 of all words.
+    Counted per batch; what nobody wants is dropped before the shuffle."""
+    sent = documents.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -68,10 +89,12 @@ def corpus_counts(documents: DataFrame) -> DataFrame:
                 if t:
                     parts += _keys(word_hashes(t))
             if total:
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                keys = np.concatenate(parts)
+                keys, n = np.unique(keys[_may_hold(sent.value, keys)], return_counts=True)
                 yield pd.DataFrame({"key": np.append(keys.view(np.int64), 0), "n": np.append(n, total)})
 
-    return documents.select("text").where("text is not null").mapInPandas(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = documents.select("text").where("text is not null").mapInPandas(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.join(wanted, "key", "left_semi")
 
 
 def loose_runs(text: str) -> tuple[int, list[tuple[list[str], int]]]:
@@ -127,7 +150,7 @@ def judged_runs(documents: DataFrame) -> DataFrame:
     """(doc_id, words, run, run_words, stuffed, pmi) of the runs that may make their document spam."""
     pairs = cut_lineage(run_pairs(documents))
     wanted = pairs.select(F.explode(F.array("pair", "left", "right", F.lit(0).cast("bigint"))).alias("key")).distinct()
-    counts = cut_lineage(corpus_counts(documents).join(wanted, "key", "left_semi"))
+    counts = cut_lineage(corpus_counts(documents, wanted))
     total = counts.where("key = 0").first()
     total = total.n if total else 0
     copies = documents.where("text is not null").select(F.xxhash64("text").alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"))

@@ -4,7 +4,7 @@ Texts are spread over partitions by hash. Every partition is packed in shards, e
 the texts waiting to be packed; windows that a shard cannot fill stay open for the next. The longest waiting
 text is the seed of a container; its best-scoring unused neighbours fill the window down to the last gap, passing over
 those that would leave a gap which no other neighbours close. Only what no neighbour fits is closed by size alone.
-Document frequencies and lengths are those of all texts. Texts longer than a container are cut at the capacity, all others stay whole.
+Document frequencies and lengths are counted over all texts. Texts longer than a container are cut at the capacity, all others stay whole.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from sitewarp.llm.words import word_hashes, words
 from sitewarp.session import cut_lineage
 
 CAPACITY = 2048
-#: Terms are counted under this many hash buckets, so the table of document frequencies has a fixed size (2 MB).
-BUCKETS = 1 << 18
+#: Document frequencies are exact for terms in at least this share of the texts; one that is rarer weighs as if it had just that
+#: share. A text of m distinct terms adds m to all frequencies, so at most (mean m / RARE) terms are sent to the tasks.
+RARE = 1e-5
 #: Items indexed at once; windows that they do not fill stay open.
 SHARD = 4096
 #: Tokens that a window may lack and still count as closed.
@@ -38,39 +39,48 @@ ASSIGNMENT = "container_id bigint, doc_id bigint, piece int, start_token int, n_
 
 
 def measured(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Tokens, words and the term vector of every text."""
+    """Tokens, words and the term vector of every text; a term is 32 bits of its word's hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
                 w = words(text)
-                terms, counts = np.unique((word_hashes(w) % np.uint64(BUCKETS)).astype(np.int32), return_counts=True)
-                out.append((doc_id, count_tokens(text, vocabulary), len(w), terms.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()))
+                terms, counts = np.unique((word_hashes(w) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+                out.append((doc_id, count_tokens(text, vocabulary), len(w), terms.tobytes(), counts.astype(np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_words", "terms", "counts"])
 
     return documents.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(run, ITEM)
 
 
-def document_frequencies(items: DataFrame) -> tuple[np.ndarray, int, float]:
-    """(documents per term bucket, documents, mean words) of all texts."""
+class Frequencies:
+    """Inverse document frequencies: those of the known ``terms``, in rising order, and ``rare`` for all others."""
+
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, rare: float):
+        self.terms, self.idf, self.rare = terms, idf, rare
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.full(len(terms), self.rare, dtype=np.float32)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, self.idf[at], np.float32(self.rare))
+
+
+def document_frequencies(items: DataFrame, rare: float = RARE) -> tuple[Frequencies, float]:
+    """(inverse document frequencies, mean words) of all texts. Texts per term are counted in each batch before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, length = np.zeros(BUCKETS, dtype=np.int64), 0, 0
         for batch in batches:
-            for terms in batch.terms:
-                df[np.frombuffer(terms, dtype=np.int32)] += 1
-            n, length = n + len(batch), length + int(batch.n_words.sum())
-        used = np.flatnonzero(df)
-        yield pd.DataFrame({"bucket": np.append(used, (-1, -2)), "n": np.append(df[used], (n, length))})
+            found = [np.frombuffer(t, dtype=np.uint32) for t in batch.terms]
+            if found:
+                terms, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"term": terms.astype(np.int64), "n": n})
 
-    sums = items.select("n_words", "terms").mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = dict(zip(sums.bucket, sums.n, strict=True))
-    df = np.zeros(BUCKETS, dtype=np.int64)
-    known = sums[sums.bucket >= 0]
-    df[known.bucket.to_numpy()] = known.n.to_numpy()
-    n = int(total.get(-1, 0))
-    return df, n, total.get(-2, 0) / max(n, 1)
+    n, length = items.agg(F.count("*"), F.sum("n_words")).first()
+    least = rare * n
+    known = items.select("terms").mapInPandas(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least)).toPandas().sort_values("term")
+    idf = lambda df: np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    return Frequencies(known.term.to_numpy().astype(np.uint32), idf(known.n.to_numpy()), float(idf(np.array([least]))[0])), (length or 0) / max(n, 1)
 
 
 def closable(sizes: np.ndarray, gap: int) -> np.ndarray:
@@ -92,18 +102,17 @@ def closable(sizes: np.ndarray, gap: int) -> np.ndarray:
 class Shard:
     """Waiting items and their inverted index. The first ``opened`` items are open windows: seeds, but never neighbours."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, mean_words: float, opened: int = 0):
+    def __init__(self, items: list[tuple], idf: Frequencies, mean_words: float, opened: int = 0):
         self.items, self.opened = items, opened
         self.room = np.array([x[3] for x in items], dtype=np.int64)
         self.waiting = np.arange(len(items)) >= opened
-        self.idf = idf
-        vectors = [np.frombuffer(x[5], dtype=np.int32) for x in items]
+        vectors = [np.frombuffer(x[5], dtype=np.uint32) for x in items]
         sizes = np.array([len(v) for v in vectors], dtype=np.int64)
         owner = np.repeat(np.arange(len(items)), sizes)
-        terms = np.concatenate(vectors) if len(items) else np.empty(0, dtype=np.int32)
-        tf = np.concatenate([np.frombuffer(x[6], dtype=np.uint8) for x in items]).astype(np.float32) if len(items) else np.empty(0, dtype=np.float32)
+        terms = np.concatenate(vectors) if len(items) else np.empty(0, dtype=np.uint32)
+        tf = np.concatenate([np.frombuffer(x[6], dtype=np.uint32) for x in items]).astype(np.float32) if len(items) else np.empty(0, dtype=np.float32)
         norm = K1 * (1 - B + B * np.array([x[4] for x in items], dtype=np.float32) / max(mean_words, 1.0))
-        weight = idf[terms] * tf * (K1 + 1) / (tf + norm[owner])
+        weight = idf.of(terms) * tf * (K1 + 1) / (tf + norm[owner])
         order = np.argsort(terms, kind="stable")
         order = order[owner[order] >= opened]
         self._index(terms[order], owner[order], weight[order].astype(np.float64))
@@ -212,7 +221,7 @@ class Shard:
         return [w for w in self.windows if w[0] in kept]
 
 
-def filled(batches: Iterator[pd.DataFrame], idf: np.ndarray, mean_words: float, number: int = 0) -> Iterator[pd.DataFrame]:
+def filled(batches: Iterator[pd.DataFrame], idf: Frequencies, mean_words: float, number: int = 0) -> Iterator[pd.DataFrame]:
     """The containers of a partition, numbered from ``number``.
 
     A window that its shard cannot fill stays open, with its members' places and the terms of its seed, until a later shard
@@ -259,8 +268,7 @@ def packed(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     shuffled, only their sizes and terms.
     """
     items = cut_lineage(measured(documents, vocabulary))
-    df, n, mean_words = document_frequencies(items)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf, mean_words = document_frequencies(items)
     sent = documents.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

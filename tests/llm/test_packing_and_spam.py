@@ -12,6 +12,7 @@ from sitewarp.llm import keyword_spam, packing
 from sitewarp.llm.token_counts import count_tokens, encoding
 
 VOCABULARY = [f"word{i}" for i in range(300)]
+FLAT = packing.Frequencies(np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.float32), 1.0)
 
 
 def test_assignment_is_exact(spark):
@@ -34,17 +35,17 @@ def test_assignment_is_exact(spark):
 
 
 def _item(i, size, terms):
-    return (i, 0, 0, size, len(terms), np.array(sorted(terms), dtype=np.int32).tobytes(), np.ones(len(terms), dtype=np.uint8).tobytes())
+    return (i, 0, 0, size, len(terms), np.array(sorted(terms), dtype=np.uint32).tobytes(), np.ones(len(terms), dtype=np.uint32).tobytes())
 
 
 def test_neighbours_follow_bm25():
     rng = random.Random(4)
     items = [_item(i, 100, rng.sample(range(60), rng.randint(3, 20))) for i in range(50)]
-    idf = np.linspace(0.1, 3, packing.BUCKETS).astype(np.float32)
+    idf = np.linspace(0.1, 3, 1000).astype(np.float32)
     mean = sum(x[4] for x in items) / 50
-    shard = packing.Shard(items, idf, mean)
+    shard = packing.Shard(items, packing.Frequencies(np.arange(1000, dtype=np.uint32), idf, 0.0), mean)
     shard.take(7)
-    vectors = [set(np.frombuffer(x[5], dtype=np.int32).tolist()) for x in items]
+    vectors = [set(np.frombuffer(x[5], dtype=np.uint32).tolist()) for x in items]
     score = {i: sum(float(idf[t]) * (packing.K1 + 1) / (1 + packing.K1 * (1 - packing.B + packing.B * len(v) / mean)) for t in v & vectors[7]) for i, v in enumerate(vectors) if i != 7 and v & vectors[7]}
     got = shard.neighbours(7).tolist()
     assert set(got) == set(score) and all(score[a] >= score[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
@@ -54,7 +55,7 @@ def test_closing_fills_best():
     rng = random.Random(6)
     for _ in range(50):
         items = [_item(i, rng.randint(1, 120), [1]) for i in range(rng.randint(1, 12))]
-        shard = packing.Shard(items, np.ones(packing.BUCKETS, dtype=np.float32), 1.0)
+        shard = packing.Shard(items, FLAT, 1.0)
         gap, sizes = rng.randint(1, 150), [x[3] for x in items]
         sums = [s for s in sizes if s <= gap] + [a + b for i, a in enumerate(sizes) for b in sizes[:i] if a + b <= gap]
         assert sum(shard.closing(gap)) == max(sums, default=0)
@@ -62,7 +63,7 @@ def test_closing_fills_best():
 
 def test_sizes_that_do_not_combine(monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 8)
-    shard = packing.Shard([_item(i, 1100, [1]) for i in range(8)], np.ones(packing.BUCKETS, dtype=np.float32), 1.0)
+    shard = packing.Shard([_item(i, 1100, [1]) for i in range(8)], FLAT, 1.0)
     full, left = shard.pack(last=False)
     assert not full and sorted(x for w in shard.loose(left) for x in w) == list(range(8))
 
@@ -71,18 +72,18 @@ def test_neighbours_fill_the_last_gap():
     """Every seed gets the neighbour that shares its terms, however long the seed and whichever of its terms they share."""
     seeds = [_item(i, 1148, range(100 * i, 100 * i + 40)) for i in range(10)]
     texts = [_item(10 + i, 900, range(100 * (9 - i) + 30, 100 * (9 - i) + 50)) for i in range(10)]
-    idf = np.ones(packing.BUCKETS, dtype=np.float32)
+    idf = np.ones(2000, dtype=np.float32)
     idf[[100 * i + k for i in range(10) for k in range(30)]] = 2
-    shard = packing.Shard(seeds + texts, idf, 30.0)
+    shard = packing.Shard(seeds + texts, packing.Frequencies(np.arange(2000, dtype=np.uint32), idf, 1.0), 30.0)
     assert sorted(shard.pack(last=True)[0]) == [[i, 19 - i] for i in range(10)]
 
 
 def test_open_windows_wait_for_later_texts(monkeypatch):
     """Texts of 1,100 tokens that lie together leave room for those of 948 tokens that follow shards later."""
     monkeypatch.setattr(packing, "SHARD", 64)
-    rows = [(i, 1100 if i < 320 else 948, 1, np.array([i % 320], dtype=np.int32).tobytes(), b"\1") for i in range(640)]
+    rows = [(i, 1100 if i < 320 else 948, 1, np.array([i % 320], dtype=np.uint32).tobytes(), np.ones(1, dtype=np.uint32).tobytes()) for i in range(640)]
     batches = (pd.DataFrame(rows[i : i + 50], columns=["doc_id", "n_tokens", "n_words", "terms", "counts"]) for i in range(0, 640, 50))
-    got = pd.concat(packing.filled(batches, np.ones(packing.BUCKETS, dtype=np.float32), 1.0))
+    got = pd.concat(packing.filled(batches, FLAT, 1.0))
     load = got.groupby("container_id").n_tokens.sum()
     assert len(load) == 320 and (load == 2048).all() and sorted(got.doc_id) == list(range(640))
 
@@ -126,3 +127,32 @@ def test_keyword_documents(spark):
     run = next(t for t, _ in keyword_spam.loose_runs(dict(corpus)[1002])[1])
     want = sum(pmi(a, b) for a, b in zip(run, run[1:], strict=False)) / (len(run) - 1)
     assert keyword_spam.judged_runs(docs).where("doc_id = 1002").first().pmi == pytest.approx(want)
+
+
+def test_document_frequencies(spark):
+    texts = [" ".join(f"t{k}" for k in range(60) if i % (k + 1) == 0) for i in range(1, 241)]
+    items = packing.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    df = Counter(t for text in texts for t in set(text.split()))
+    term = {t: (packing.word_hashes([t]) >> np.uint64(32)).astype(np.uint32) for t in df}
+    for rare in (1e-5, 0.1):
+        idf, mean = packing.document_frequencies(items, rare)
+        assert mean == sum(len(t.split()) for t in texts) / 240
+        for t, h in term.items():
+            n = max(df[t], rare * 240)
+            assert idf.of(h)[0] == pytest.approx(math.log1p((240 - n + 0.5) / (n + 0.5)), rel=1e-5)
+
+
+def test_counts_of_wanted_keys(spark):
+    corpus = spam_corpus()
+    words, pairs = Counter(), Counter()
+    for _, t in corpus:
+        w = keyword_spam.tokens(t or "")
+        words.update(w)
+        pairs.update(zip(w, w[1:], strict=False))
+    want = {0: sum(words.values())}
+    for a, b in (("lamp", "kettle"), ("we", "sold"), ("of", "the"), ("nobody", "lamp")):
+        x, y = keyword_spam._keys(keyword_spam.word_hashes([a, b]))
+        want |= dict(zip((*x.view(np.int64).tolist(), *y.view(np.int64).tolist()), (words[a], words[b], pairs[a, b]), strict=True))
+    wanted = spark.createDataFrame([(k,) for k in want], "key bigint")
+    got = {r.key: r.n for r in keyword_spam.corpus_counts(spark.createDataFrame(corpus, "doc_id bigint, text string"), wanted).collect()}
+    assert got == {k: n for k, n in want.items() if n}
