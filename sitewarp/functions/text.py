@@ -12,10 +12,10 @@ PATTERNS = {
     "price": r"[$£€¥] ?[0-9][0-9,.]*|\b[0-9][0-9,.]* ?(usd|eur|gbp|inr)\b",
     "phone": r"(\+[0-9]{1,3}[ .\-]?)?(\([0-9]{2,4}\)[ .\-]?)?[0-9]{3,4}[ .\-]?[0-9]{3,4}",
     "email": r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}",
-    "postal_code": r"\b[0-9]{4,6}\b|\b[a-z]{1,2}[0-9]{1,2}[a-z]? ?[0-9][a-z]{2}\b",
+    "postal_code": r"\b[0-9]{4,6}\b|\b[A-Z]{1,2}[0-9]{1,2}[A-Z]? ?[0-9][A-Z]{2}\b",
     "opening_hours": r"\b(mon|tue|wed|thu|fri|sat|sun)[a-z]*[^a-z.][^.]{0,29}[0-9]{1,2}[:.]?[0-9]{0,2} *(am|pm|-)",
-    "byline": r"\bby [a-z]+ [a-z]+",
-    "trial": r"\b(free trial|book a demo|request a demo|get started free|try it free|start free)\b",
+    "byline": r"\bby[ \t\r\n]+[A-Z][a-z]+[ \t\r\n]+[A-Z][a-z]+",
+    "trial": r"\b(free trial|start (a |an )?([0-9]+[ \-]day )?(free )?trial|book a demo|request a demo|get started free|try it free|start free)\b",
     "cart": r"\b(add to (cart|basket|bag)|buy now|checkout)\b",
     "street_address": r"\b[0-9]{1,5} [a-z]+( [a-z]+)? (street|st|road|rd|avenue|ave|lane|ln|drive|dr|boulevard|blvd)\b",
     "injection": r"ignore (all )?(previous|prior|above) (instructions|prompts)|disregard (all )?(previous|prior|above)|you are now|system prompt|as an ai (language )?model|do not (tell|reveal)|new instructions:",
@@ -41,8 +41,36 @@ PATTERNS = {
     "hidden_css": r"display: ?none|visibility: ?hidden|font-size: ?0|opacity: ?0[^.]|text-indent: ?-[0-9]{3,}|left: ?-[0-9]{4,}",
     "viewport_meta": r"<meta[^>]+name=[\"']?viewport",
     "autoplay": r"<(video|audio)[^>]+autoplay|popup|interstitial",
+    "speaks_to": r"\b(for|helps?|help you|built (for|to)|designed (for|to)|made (for|to)|used by|trusted by|lets? you|so you can|gives? you|we help|(is|are) (a|an|the)|(meet|join) the|(tools?|software|platform) (for|to)|system for) ",
+    "vague_opener": r"^[ \t\r\n]*(welcome|hello|hi there|about us|home|introducing us|our website)\b",
+    "proof": r"\b(testimonial|review|rated|rating|stars?|trusted by|used by|join(ed)? (over )?[0-9,]+|[0-9,]+\+? (customers|companies|teams|users)|case stud(y|ies)|success story)\b|[“\"][^”\"]{40,}[”\"][ \t\r\n]*[\-—][ \t\r\n]*[A-Z]",
+    "volatile_fact": r"\b(price|pricing|per month|per year|currently|as of|latest|newest|this year|opening hours|in stock|available now|current version|roadmap)\b",
+    "author_hint": r"\b(by [A-Z][a-z]+ [A-Z][a-z]+|author|written by|posted by)\b",
+    "definitional": r"\b(is|are|provides|offers|helps|lets you|enables|delivers|means|specialises|specializes)\b",
+    "prior_context": r"\b(your (selected|chosen|current|existing) [a-z ]{2,20}|as (we )?(discussed|mentioned|agreed|noted) |as (mentioned|described|explained) above|continue where you left off|welcome back|(resume|return to) your|the (above|aforementioned) [a-z]{3,20})\b",
+    "directive": r"ignore[ \t\r\n]+(all[ \t\r\n]+)?(previous|prior|above)[ \t\r\n]+instructions|disregard[ \t\r\n]+(the[ \t\r\n]+)?(above|previous|earlier)|as an ai language model|you are (chatgpt|claude|gemini|an ai|a large language model)|system[ \t\r\n]*prompt|prompt[ \t\r\n]*injection|(do not|don'?t) (mention|reveal|disclose) (this|the following|that)|(instructions?|note|message) (to|for) (the )?(ai|assistant|llm|chatbot|model)|<!--[ \t\r\n]*(ai|llm|assistant|gpt)[: ]",
+    "hidden_style": r"style *= *[\"'][^\"']*(display *: *none|visibility *: *hidden|opacity *: *0(\.0+)?[^0-9.]|font-size *: *0|text-indent *: *- *[0-9]{3,}|(left|top) *: *- *[0-9]{4,})",
+    "zoom_off": r"user-scalable *= *(no|0)|maximum-scale *= *1(\.0)?[^0-9.]",
+    "modal_on_load": r"data-(modal|popup|overlay)-(trigger|on)=[\"']?(load|onload|pageload|scroll)|class=[\"'][^\"']*(newsletter-popup|exit-intent|interstitial|modal--auto)|window\.onload *= *[^;]{0,80}(modal|popup|overlay)",
+    "gated": r"<details[ >]|class=[\"'][^\"']*(accordion|collapse|read-more)",
+    "plain_source": r"(src|srcset|data) *= *[\"']http://",
     "mount_root": r"id=[\"'](root|app|__next|__nuxt)[\"']",
 }
+#: Patterns in which case matters.
+CASED = ("byline", "postal_code", "author_hint")
+#: Small letters of which every match holds at least one: a quick search that spares most texts the pattern.
+NEEDED = {
+    "price": ("$", "£", "€", "¥", "usd", "eur", "gbp", "inr"), "email": ("@",), "opening_hours": ("mon", "tue", "wed", "thu", "fri", "sat", "sun"), "trial": ("trial", "demo", "free"), "cart": ("add to ", "buy now", "checkout"),
+    "injection": ("ignore ", "disregard", "you are now", "system prompt", "as an ai", "do not ", "new instructions"), "statistic": ("%", "percent", "per cent", "million", "billion"), "quotation": ('"', "“"),
+    "citation": ("according to", "study ", "research ", "survey ", "published in", "source:"), "back_reference": ("as mentioned", "as noted", "as described", "as discussed", "see above", "the above", "the former", "the latter", "the aforementioned", "earlier in this"),
+    "free_offer": ("free", "no cost", "open source"), "superlative": ("best", "leading", "world-class", "number one", "premier", "top-rated", "cutting-edge", "unrival", "unmatched", "revolutionary"), "question_words": ("faq", "frequently", "how ", "what is", "why "),
+    "iso_date": ("-",), "text_date": ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"), "copyright_year": ("©", "copyright", "(c)"), "byline": ("by",), "script_notice": ("javascript",),
+    "street_address": (" street", " st", " road", " rd", " ave", " lane", " ln", " dr", " boulevard", " blvd"), "audience_hint": ("for ", "help"), "social_proof": ("testimonial", "review", "rated ", "customer", "case stud", "trusted by", "star"),
+    "proof": ("testimonial", "review", "rat", "star", "by", "join", "customers", "companies", "teams", "users", "case stud", "success story", "“", '"'), "prior_context": ("your ", "as ", "continue", "welcome back", "the above", "the aforementioned"),
+    "volatile_fact": ("pric", "per month", "per year", "current", "as of", "latest", "newest", "this year", "opening hours", "in stock", "available now", "roadmap"), "author_hint": ("by", "author"),
+    "directive": ("ignore", "disregard", "language model", "you are ", "prompt", "mention", "reveal", "disclose", "instruction", "note", "message", "<!--"), "hidden_style": ("style",), "zoom_off": ("scal",), "modal_on_load": ("data-", "class=", "onload"), "gated": ("<details", "class="), "plain_source": ("http://",),
+    "hidden_css": ("display", "visibility", "font-size", "opacity", "text-indent", "left"), "viewport_meta": ("viewport",), "autoplay": ("autoplay", "popup", "interstitial"),
+}
 # Engines differ on what \b means beside letters outside ASCII, so it is spelled out.
 PATTERNS = {name: re.sub(r"\\b(?=[(\[a-z])(?<![)\]*+].)", "(?:^|[^A-Za-z0-9_])", p) for name, p in PATTERNS.items()}
 PATTERNS = {name: p.replace(r"\b", "(?:[^A-Za-z0-9_]|$)") for name, p in PATTERNS.items()}
@@ -51,12 +79,26 @@ PATTERNS = {name: p.replace(r"\b", "(?:[^A-Za-z0-9_]|$)") for name, p in PATTERN
 INVISIBLE = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2069, 0xFEFF)))
 
 
+def _regex(name: str) -> str:
+    return PATTERNS[name] if name in CASED else "(?i)" + PATTERNS[name]
+
+
+def _worth(text: Column, name: str) -> Column | None:
+    """Whether the text holds what the pattern cannot do without, or null where nothing is known."""
+    low, out = F.lower(text), None
+    for literal in NEEDED.get(name, ()):
+        out = F.contains(low, F.lit(literal)) if out is None else out | F.contains(low, F.lit(literal))
+    return out
+
+
 def matches(text: Column, name: str) -> Column:
-    return F.coalesce(text.rlike("(?i)" + PATTERNS[name]), F.lit(False))
+    worth, hit = _worth(text, name), text.rlike(_regex(name))
+    return F.coalesce(hit if worth is None else worth & hit, F.lit(False))
 
 
 def occurrences(text: Column, name: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("(?i)" + PATTERNS[name])), F.lit(0)).cast("bigint")
+    worth, n = _worth(text, name), F.regexp_count(text, F.lit(_regex(name)))
+    return F.coalesce(n if worth is None else F.when(worth, n), F.lit(0)).cast("bigint")
 
 
 def word_count(text: Column) -> Column:

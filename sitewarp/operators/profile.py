@@ -14,7 +14,7 @@ WEIGHTS = {
     "e-commerce": {"schema_product": 3.0, "has_price": 2.0, "cart_path": 2.5, "many_product_urls": 2.0, "add_to_cart_text": 2.0},
     "docs": {"docs_path_share": 3.0, "schema_techarticle": 2.0, "code_blocks": 1.5, "long_pages": 1.0},
     "developer-platform": {"docs_path_share": 1.5, "api_path": 2.5, "code_blocks": 2.0, "github_link": 1.5, "schema_techarticle": 1.0},
-    "publisher": {"schema_article": 2.5, "many_article_urls": 2.5, "bylines": 2.0},
+    "publisher": {"schema_article": 2.5, "many_article_urls": 2.5, "bylines": 2.0, "dated_pages": 1.5},
     "local-business": {"schema_localbusiness": 3.5, "opening_hours": 2.5, "postal_address": 1.0, "phone_number": 0.5, "small_site": 0.5},
     "saas-marketing": {"pricing_page": 2.0, "trial_cta": 2.0, "schema_softwareapp": 2.0, "feature_pages": 1.0, "no_cart": 0.5},
 }
@@ -23,12 +23,21 @@ LEAST_SCORE, UNDECIDED = 3.0, 0.3
 THIN = {"home": 120, "product": 120, "category": 60, "article": 300, "docs": 200, "pricing": 120, "contact": 40, "about": 100, "utility": 0, "other": 150}
 THIN_BY_ARCHETYPE = {"docs": {"docs": 150, "article": 250, "category": 40}, "developer-platform": {"docs": 150, "article": 250}, "saas-marketing": {"home": 100, "pricing": 100, "product": 100, "other": 120}, "e-commerce": {"product": 80, "category": 40, "home": 100}, "publisher": {"article": 350, "category": 50, "home": 100}, "local-business": {"home": 80, "about": 60, "contact": 30, "other": 80}}
 
+FIELDS = {"contact": 8, "pricing": 5, "home": 5, "product": 6, "utility": 30, "other": 7}
+FIELDS_BY_ARCHETYPE = {"saas-marketing": {"contact": 7, "pricing": 4, "home": 4}, "e-commerce": {"utility": 30, "contact": 8}}
+STALE_DAYS, STALE_BY_ARCHETYPE = 540, {"docs": 730, "publisher": 365}
+EVIDENCE_WORDS, EVIDENCE_BY_ARCHETYPE = 400, {"docs": 800, "developer-platform": 800}
+BOILERPLATE, BOILERPLATE_BY_ARCHETYPE = 0.7, {"e-commerce": 0.8}
+
 
 def declared_types(page: DataFrame, column: str = "markup") -> Column:
-    """Lower-cased distinct ``@type`` values of a page's JSON-LD texts, by pattern: blocks need not be well-formed."""
+    """Lower-cased distinct ``@type`` values of a page's JSON-LD texts, single or in arrays, without their vocabulary's address; by
+    pattern, so blocks need not be well-formed."""
     blocks = F.coalesce(F.array_join(F.col(f"{column}.jsonld"), "\n"), F.lit(""))
-    found = F.regexp_extract_all(blocks, F.lit(r'"@type" *: *"([A-Za-z]+)"'), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
+    values = F.regexp_extract_all(blocks, F.lit(r'"@type"[ \t\r\n]*:[ \t\r\n]*(\[[^\]]*\]|"[^"]*")'), F.lit(1))
+    names = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit('"([^"]*)"'), F.lit(1))))
+    found = F.transform(names, lambda t: F.lower(F.regexp_extract(t, r"([^/#:]*)\z", 1)))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: t != "")))
 
 
 def kind_of(page: DataFrame) -> Column:
@@ -38,7 +47,7 @@ def kind_of(page: DataFrame) -> Column:
     hint = F.get(F.filter(F.transform(types, lambda t: F.element_at(table, t)), lambda x: x.isNotNull()), F.lit(0))
     fields = F.aggregate(F.coalesce(F.transform("forms", lambda f: F.coalesce(F.size(f["fields"]), F.lit(0))), F.array().cast("array<int>")), F.lit(0), lambda a, b: a + b)
     typed = lambda name, confidence: F.struct(name.alias("page_type"), F.lit(confidence).alias("confidence"))
-    shape = F.when(F.coalesce(F.col("status"), F.lit(0)) != 200, typed(F.lit("utility"), 0.5)).when(F.col("wordcount") >= 500, typed(F.lit("article"), 0.5)).when(fields >= 3, typed(F.lit("contact"), 0.45)).otherwise(typed(F.lit("other"), 0.35))
+    shape = F.when(F.coalesce(F.col("status"), F.lit(0)) != 200, typed(F.lit("utility"), 0.5)).when((F.col("wordcount") >= 400) & (F.coalesce("dates.schema_published", F.lit("")) != ""), typed(F.lit("article"), 0.65)).when(F.col("wordcount") >= 500, typed(F.lit("article"), 0.5)).when(fields >= 3, typed(F.lit("contact"), 0.45)).otherwise(typed(F.lit("other"), 0.35))
     return F.coalesce(U.path_type(url, U.SURE), F.when(hint.isNotNull(), typed(hint, 0.92)), U.path_type(url), shape)
 
 
@@ -54,7 +63,7 @@ def site_signals(page: DataFrame) -> DataFrame:
     body, p, types = F.coalesce("main_text", F.lit("")), F.lower(U.path(F.coalesce("url", F.lit("")))), declared_types(page)
     has = lambda *names: F.arrays_overlap(types, F.array(*map(F.lit, names)))
     facts = typed.select(
-        "site", "page_type", "main_wordcount",
+        "site", "page_type", "main_wordcount", (F.coalesce("dates.schema_published", F.lit("")) != "").alias("dated"),
         has("product", "offer").alias("schema_product"), has("article", "newsarticle", "blogposting").alias("schema_article"), has("techarticle", "apireference", "howto").alias("schema_techarticle"),
         has("localbusiness", "store", "restaurant", "dentist", "medicalclinic").alias("schema_localbusiness"), has("softwareapplication", "saas").alias("schema_softwareapp"),
         T.matches(body, "price").alias("has_price"), p.rlike("/cart|/checkout|/basket").alias("cart_path"), T.matches(body, "cart").alias("add_to_cart_text"), p.rlike("/doc|/guide|/reference").alias("docs_path"), p.contains("/api").alias("api_path"),
@@ -65,7 +74,7 @@ def site_signals(page: DataFrame) -> DataFrame:
     share = lambda c: F.avg(c.cast("double"))
     return facts.groupBy("site").agg(
         F.count("*").alias("n_pages"), *(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in any_of),
-        (share(F.col("page_type") == "product") >= 0.25).alias("many_product_urls"), (share(F.col("page_type") == "article") >= 0.35).alias("many_article_urls"), (share(F.col("docs_path")) >= 0.25).alias("docs_path_share"),
+        (share(F.col("page_type") == "product") >= 0.25).alias("many_product_urls"), (share(F.col("page_type") == "article") >= 0.35).alias("many_article_urls"), (share(F.col("docs_path")) >= 0.25).alias("docs_path_share"), (share(F.col("dated")) >= 0.3).alias("dated_pages"),
         (share(F.coalesce(F.col("main_wordcount"), F.lit(0)) > 400) >= 0.4).alias("long_pages"), (F.count("*") <= 8).alias("small_site"), F.bool_or(F.col("page_type") == "pricing").alias("pricing_page"), (~F.coalesce(F.bool_or("cart_path"), F.lit(False))).alias("no_cart"),
     )
 
@@ -88,8 +97,22 @@ def archetypes(signals: DataFrame) -> DataFrame:
     return signals.select("site", F.when(sure, ranks[0]["name"]).otherwise(F.lit("other")).alias("archetype"), best.alias("score"), F.when(sure, confidence).otherwise(F.lit(UNDECIDED)).alias("confidence"))
 
 
-def thin_limit(archetype: Column, kind: Column) -> Column:
-    """Least words for a page type, with the archetype's own limits before the common ones."""
-    common = F.create_map(*(F.lit(x) for kv in THIN.items() for x in kv))
-    own = F.create_map(*(x for a, t in THIN_BY_ARCHETYPE.items() for x in (F.lit(a), F.create_map(*(F.lit(y) for kv in t.items() for y in kv)))))
-    return F.coalesce(F.try_element_at(F.try_element_at(own, archetype), kind), F.try_element_at(common, kind), F.lit(THIN["other"]))
+def _by_kind(archetype: Column, kind: Column, own: dict[str, dict[str, int]], common: dict[str, int]) -> Column:
+    entries = {f"{a} {k}": n for a, t in own.items() for k, n in t.items()} | common
+    table = F.create_map(*(F.lit(x) for kv in entries.items() for x in kv))
+    return F.coalesce(F.try_element_at(table, F.concat_ws(" ", archetype, kind)), F.try_element_at(table, kind), F.lit(common["other"])).cast("bigint")
+
+
+def _by_archetype(archetype: Column, own: dict, common) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in own.items() for x in kv)), archetype), F.lit(common))
+
+
+def with_limits(rows: DataFrame, archetypes: DataFrame) -> DataFrame:
+    """``rows`` (site, page_type, ...) with their site's archetype and the limits that go with it and the page type. A site without
+    archetype is ``other``. Archetypes are one row per site."""
+    out = rows.join(archetypes.select("site", "archetype"), "site", "left").withColumn("archetype", F.coalesce("archetype", F.lit("other")))
+    a, k = F.col("archetype"), F.col("page_type")
+    return out.withColumns({
+        "thin_limit": _by_kind(a, k, THIN_BY_ARCHETYPE, THIN), "fields_limit": _by_kind(a, k, FIELDS_BY_ARCHETYPE, FIELDS), "stale_days": _by_archetype(a, STALE_BY_ARCHETYPE, STALE_DAYS).cast("bigint"),
+        "evidence_words": _by_archetype(a, EVIDENCE_BY_ARCHETYPE, EVIDENCE_WORDS).cast("bigint"), "boilerplate_limit": _by_archetype(a, BOILERPLATE_BY_ARCHETYPE, BOILERPLATE),
+    })

@@ -16,10 +16,11 @@ BOTS = {
 }
 
 
-def category(token: Column) -> Column:
-    """What a known crawler fetches for, or null."""
-    out = None
-    for name, tokens in BOTS.items():
+def category(token: Column, bots: dict[str, list[str]] | None = None) -> Column:
+    """What a known crawler fetches for, or null. Names are compared without case; ``bots`` replaces the known ones."""
+    out, token = None, F.lower(token)
+    for name, tokens in (bots or BOTS).items():
+        tokens = [t.lower() for t in tokens]
         out = F.when(token.isin(tokens), F.lit(name)) if out is None else out.when(token.isin(tokens), F.lit(name))
     return out
 
@@ -74,18 +75,20 @@ def applicable(rules: DataFrame, crawlers: list[str]) -> DataFrame:
     return best.select("site", "token", "best.group_no", F.col("best.agent").alias("matched_agent"))
 
 
+def _decided(paths: DataFrame, rules: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(site, path, token, best) for the paths that a rule of the crawler's group ``chosen`` (site, token, group_no) matches. Rules
+    are few per site and joined on it, so no path meets another site's rules."""
+    live = rules.where("pattern is not null and pattern <> ''").select("site", "group_no", "allow", "pattern", "line_no", pattern_regex(octets(F.col("pattern"))).alias("rx"), F.length("pattern").alias("n"))
+    met = paths.select("site", "path").distinct().join(chosen, "site").join(live, ["site", "group_no"]).where(F.expr("path rlike rx"))
+    return met.groupBy("site", "path", "token").agg(F.max(F.struct("n", "allow", (-F.col("line_no")).alias("early"), "pattern", "line_no")).alias("best"))
+
+
 def decisions(paths: DataFrame, rules: DataFrame, crawlers: list[str]) -> DataFrame:
     """(site, path, token, allowed, pattern, line_no) for every path of ``paths`` (site, path) and crawler.
 
-    The longest matching pattern decides, Allow wins a tie, empty patterns never match, no match allows. Rules
-    are few per site and joined on it, so no path meets another site's rules.
+    The longest matching pattern decides, Allow wins a tie, empty patterns never match, no match allows.
     """
-    chosen = applicable(rules, crawlers)
-    live = rules.where("pattern is not null and pattern <> ''").select("site", "group_no", "allow", "pattern", "line_no", pattern_regex(octets(F.col("pattern"))).alias("rx"), F.length("pattern").alias("n"))
-    matched = (
-        paths.select("site", "path").distinct().join(chosen, "site").join(live, ["site", "group_no"]).where(F.expr("path rlike rx"))
-        .groupBy("site", "path", "token").agg(F.max(F.struct("n", "allow", (-F.col("line_no")).alias("early"), "pattern", "line_no")).alias("best"))
-    )
+    matched = _decided(paths, rules, applicable(rules, crawlers))
     everything = paths.select("site", "path").distinct().select("*", _each(crawlers))
     return everything.join(matched, ["site", "path", "token"], "left").select("site", "path", "token", F.coalesce("best.allow", F.lit(True)).alias("allowed"), "best.pattern", "best.line_no")
 
@@ -94,3 +97,10 @@ def blanket_disallows(rules: DataFrame) -> DataFrame:
     """Sites whose ``*`` group disallows ``/`` and allows nothing longer than one character."""
     star = rules.where("agent = '*'").groupBy("site").agg(F.bool_or((~F.col("allow")) & (F.col("pattern") == "/")).alias("closed"), F.bool_or(F.col("allow") & (F.length("pattern") > 1)).alias("opened"))
     return star.where("closed and not coalesce(opened, false)").select("site")
+
+
+def named_blocks(paths: DataFrame, rules: DataFrame, bots: dict[str, list[str]] | None = None) -> DataFrame:
+    """(site, category, n_crawlers, n_paths): known crawlers whose own group, not only ``*``, keeps them from paths of ``paths`` (site, path)."""
+    own = rules.where(category(F.col("agent"), bots).isNotNull()).groupBy("site", F.lower("agent").alias("token")).agg(F.min("group_no").alias("group_no"))
+    shut = _decided(paths, rules, own).where("not best.allow")
+    return shut.groupBy("site", category(F.col("token"), bots).alias("category")).agg(F.count_distinct("token").alias("n_crawlers"), F.count_distinct("path").alias("n_paths"))

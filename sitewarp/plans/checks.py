@@ -6,34 +6,14 @@ branch to the plan. Conditions keep to comparisons that every engine reads alike
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewarp.functions import text as T
 from sitewarp.functions import urls as U
 from sitewarp.operators import links, profile, robots
-
-
-@dataclass(frozen=True)
-class Check:
-    check_id: str
-    title: str
-    severity: str
-    confidence: str
-    scope: str
-    condition: str
-    measure: str
-    effort: str = "medium"
-
-    @property
-    def stage(self) -> str:
-        return self.check_id.split(".")[0]
-
-    @property
-    def category(self) -> str:
-        return "engagement" if self.stage == "act" else "discoverability"
+from sitewarp.plans import deep_checks
+from sitewarp.plans.catalogue import Check, fired
 
 
 LISTS = "('home', 'product', 'contact', 'category', 'utility')"
@@ -45,14 +25,14 @@ PAGE_CHECKS = (
     Check("extract.sd.absent_on_eligible_page", "No structured data", "high", "confirmed", "url", "status = 200 AND n_types = 0 AND words >= 200 AND page_type <> 'utility'", "words"),
     Check("extract.ans.title_not_entity_bearing", "Title says nothing", "medium", "confirmed", "url", "status = 200 AND page_type <> 'utility' AND (title_length < 15 OR generic_title)", "title_length", "low"),
     Check("extract.ans.heading_structure_unusable", "Headings do not structure the page", "low", "confirmed", "url", "status = 200 AND page_type <> 'utility' AND (n_h1 = 0 OR has_gap OR (words > 800 AND n_h2 = 0))", "n_headings"),
-    Check("extract.ans.boilerplate_dominant", "Page is mostly boilerplate", "medium", "likely", "url", "status = 200 AND boilerplate > 0.7 AND words >= 300 AND page_type NOT IN ('home', 'category')", "words"),
+    Check("extract.ans.boilerplate_dominant", "Page is mostly boilerplate", "medium", "likely", "url", "status = 200 AND boilerplate > boilerplate_limit AND words >= 300 AND page_type NOT IN ('home', 'category')", "words"),
     Check("extract.ans.thin_content_for_page_type", "Thin content for its kind of page", "medium", "confirmed", "url", "status = 200 AND main_words > 0 AND main_words < thin_limit AND page_type NOT IN ('category') AND n_in_main < 15", "main_words"),
-    Check("extract.ans.no_evidence_markers", "Long text without evidence", "low", "confirmed", "url", f"status = 200 AND main_words >= 400 AND n_evidence = 0 AND page_type NOT IN {LISTS}", "main_words"),
+    Check("extract.ans.no_evidence_markers", "Long text without evidence", "low", "confirmed", "url", f"status = 200 AND main_words >= evidence_words AND n_evidence = 0 AND page_type NOT IN {LISTS}", "main_words"),
     Check("trust.date.absent_on_dated_content", "No date on dated content", "medium", "confirmed", "url", "status = 200 AND page_type IN ('article', 'docs') AND n_dates = 0", "n_dates", "low"),
     Check("trust.date.signals_disagree", "Date signals disagree", "medium", "confirmed", "url", "n_dates >= 2 AND date_spread > 2", "date_spread", "low"),
     Check("trust.integrity.invisible_unicode", "Invisible characters in the text", "medium", "confirmed", "url", "n_invisible >= 5", "n_invisible", "low"),
     Check("act.orient.no_wayfinding", "No way up from a deep page", "medium", "likely", "url", "status = 200 AND depth >= 2 AND NOT links_up AND page_type NOT IN ('home', 'utility')", "depth"),
-    Check("act.form.field_count_excessive", "Form asks for much", "medium", "confirmed", "url", "most_fields > 7 AND page_type <> 'utility'", "most_fields"),
+    Check("act.form.field_count_excessive", "Form asks for much", "medium", "confirmed", "url", "most_fields > fields_limit AND page_type <> 'utility'", "most_fields"),
     Check("act.form.unlabelled_inputs", "Form fields without labels", "medium", "confirmed", "url", "n_unlabelled > 0", "n_unlabelled", "low"),
     Check("act.context.no_onward_path", "Content leads nowhere", "medium", "confirmed", "url", "status = 200 AND page_type IN ('article', 'docs', 'product', 'other') AND n_in_main < 3 AND words >= 80", "n_in_main"),
     Check("act.blocker.not_mobile_ready", "No viewport declared", "high", "confirmed", "url", "status = 200 AND NOT has_viewport", "status", "low"),
@@ -75,7 +55,7 @@ SITE_CHECKS = (
     Check("act.nav.sparse_navigation", "Most pages have few links", "low", "likely", "site", "2 * n_sparse > n_pages", "n_sparse"),
     Check("trust.contact.no_contact_facts", "No page states how to get in touch", "low", "likely", "site", "n_with_contact = 0", "n_pages", "low"),
 )
-CATALOGUE = {c.check_id: c for c in (*PAGE_CHECKS, *SITE_CHECKS)}
+CATALOGUE = {c.check_id: c for c in (*PAGE_CHECKS, *SITE_CHECKS, *deep_checks.PAGE_CHECKS, *deep_checks.SITE_CHECKS)}
 EMPTY_HEADINGS = "array<struct<level:int,text:string,pos:int>>"
 
 
@@ -88,7 +68,7 @@ def page_facts(page: DataFrame) -> DataFrame:
     up = F.array_union(U.ancestors(F.col("url")), F.transform(U.ancestors(F.col("url")), lambda a: F.regexp_replace(a, "/$", "")))
     body, none = F.coalesce("main_text", F.lit("")), F.array().cast("array<string>")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    facts = page.select(
+    return page.select(
         "page_id", "site", "url", number(F.col("status")).alias("status"), number(F.col("bytes")).alias("bytes"), T.word_count(F.col("text")).alias("words"), T.word_count(F.col("main_text")).alias("main_words"),
         F.round(T.boilerplate_ratio(T.word_count(F.col("main_text")), T.word_count(F.col("text"))), 6).alias("boilerplate"),
         F.coalesce(F.lower("meta_robots").contains("noindex"), F.lit(False)).alias("noindex"), F.coalesce(F.lower("url").startswith("http://"), F.lit(False)).alias("insecure"),
@@ -105,10 +85,14 @@ def page_facts(page: DataFrame) -> DataFrame:
         F.col("canonical").isNotNull().alias("has_canonical"), (T.matches(F.col("text"), "email") | F.coalesce(F.col("text").rlike(r"(^|\n)Tel\. "), F.lit(False))).alias("has_contact"),
         F.coalesce(F.exists("links.internal", lambda x: x.rlike("(?i)" + T.PATTERNS["policy_path"])), F.lit(False)).alias("has_policy"), F.lower(F.trim(F.coalesce("title", F.lit("")))).alias("name"), profile.kind_of(page)["page_type"].alias("page_type"),
     )
-    return facts.withColumn("thin_limit", profile.thin_limit(F.lit("other"), F.col("page_type")).cast("bigint"))
 
 
-def site_facts(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def limited_facts(page: DataFrame) -> DataFrame:
+    """The facts of every page with the limits of its site's archetype."""
+    return profile.with_limits(page_facts(page), profile.archetypes(profile.site_signals(page)))
+
+
+def site_facts(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, facts: DataFrame | None = None, crawlers: dict | None = None) -> DataFrame:
     """One row of facts per site that has pages."""
     facts = page_facts(page) if facts is None else facts
     rows = facts.groupBy("site").agg(
@@ -117,7 +101,7 @@ def site_facts(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, r
     )
     shared = facts.where("name <> ''").groupBy("site", "name").agg(F.count("*").alias("n")).where("n > 1").groupBy("site").agg(F.sum("n").alias("n_shared_titles"))
     phones = page.select("site", F.explode(F.split("text", "\n")).alias("l")).where(r"l rlike '^Tel\\. '").groupBy("site").agg(F.count_distinct(F.regexp_replace("l", "[^0-9]", "")).alias("n_phones"))
-    delays = robots_rule.groupBy("site").agg(F.max("crawl_delay").alias("crawl_delay"))
+    delays = robots_rule.where((F.col("agent") == "*") | (robots.category(F.col("agent"), crawlers) == "retrieval")).groupBy("site").agg(F.max("crawl_delay").alias("crawl_delay"))
     closed = robots.blanket_disallows(robots_rule).withColumn("blanket_disallow", F.lit(True))
     broken = links.broken_links(page, page_raw).select("site", "n_broken", F.col("rate").alias("broken_rate"))
     coverage = links.sitemap_coverage(page, sitemap_entry).select("site", "n_listed", "n_missing", "missing_share", "n_lastmods")
@@ -127,12 +111,6 @@ def site_facts(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, r
     return rows.fillna(0, whole).fillna(0.0, ["crawl_delay", "broken_rate", "missing_share", "median_ms"]).fillna(False, ["blanket_disallow"])
 
 
-def fired(facts: DataFrame, checks: tuple[Check, ...], keys: list[str]) -> DataFrame:
-    """``keys``, check_id and measure of every rule that holds: one scan, one explode."""
-    rows = [F.when(F.expr(c.condition), F.struct(F.lit(c.check_id).alias("check_id"), F.expr(f"CAST({c.measure} AS BIGINT)").alias("measure"))) for c in checks]
-    return facts.select(*keys, F.explode(F.array_compact(F.array(*rows))).alias("x")).select(*keys, "x.check_id", "x.measure")
-
-
 def suppressed(facts: DataFrame) -> DataFrame:
     """(site, check_id, reason, n): rules that were not assessed on pages, as an output of its own."""
     rows = [(F.col("status") != 200, "*", "page did not answer 200"), (F.col("page_type") == "utility", "extract.ans.thin_content_for_page_type", "utility page"), (F.col("words") < 200, "extract.sd.absent_on_eligible_page", "below the word floor"), (F.col("main_words") < 400, "extract.ans.no_evidence_markers", "below the word floor"), (F.col("n_dates") < 2, "trust.date.signals_disagree", "fewer than two dates")]
@@ -140,12 +118,15 @@ def suppressed(facts: DataFrame) -> DataFrame:
     return facts.select("site", F.explode(skips).alias("x")).groupBy("site", "x.check_id", "x.reason").agg(F.count("*").alias("n"))
 
 
-def findings(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame) -> DataFrame:
+def findings(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, crawlers: dict | None = None) -> DataFrame:
     """Findings of the whole catalogue in the shape of ``operators.findings``; ``seq`` orders them by rule and page."""
-    facts = page_facts(page)
+    facts = limited_facts(page)
     on_pages = fired(facts, PAGE_CHECKS, ["site", "page_id", "url"]).select("site", "check_id", F.col("page_id").alias("at"), F.array("url").alias("affected_urls"), "measure")
-    on_sites = fired(site_facts(page, page_raw, sitemap_entry, robots_rule, facts), SITE_CHECKS, ["site"]).select("site", "check_id", F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("affected_urls"), "measure")
-    rows = on_pages.unionByName(on_sites)
+    on_sites = fired(site_facts(page, page_raw, sitemap_entry, robots_rule, facts, crawlers), SITE_CHECKS, ["site"]).select("site", "check_id", F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("affected_urls"), "measure")
+    more_on_pages, more_on_sites = deep_checks.raised(page, page_raw, robots_rule, crawlers)
+    more_on_pages = more_on_pages.select("site", "check_id", F.col("page_id").alias("at"), F.array("url").alias("affected_urls"), "measure")
+    more_on_sites = more_on_sites.select("site", "check_id", F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("affected_urls"), "measure")
+    rows = on_pages.unionByName(on_sites).unionByName(more_on_pages).unionByName(more_on_sites)
     order = F.create_map(*(x for i, c in enumerate(CATALOGUE) for x in (F.lit(c), F.lit(i))))
     value = lambda field: F.element_at(F.create_map(*(x for c in CATALOGUE.values() for x in (F.lit(c.check_id), F.lit(getattr(c, field))))), F.col("check_id"))
     seq = F.element_at(order, F.col("check_id")).cast("bigint") * F.lit(1 << 48) + F.col("at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewarp.plans.checks import Check
+from sitewarp.plans.catalogue import Check
 
 #: (fact, condition over the page facts that is counted per site)
 COUNTED = (

@@ -124,12 +124,12 @@ QUERIES = {f.__name__: f for f in (text_patterns, page_patterns, markup_patterns
 
 def _match(column: str, name: str) -> str:
     pattern = T.PATTERNS[name].replace("'", "''")
-    return f"coalesce(regexp_matches({column}, '{pattern}', 'i'), false)"
+    return f"coalesce(regexp_matches({column}, '{pattern}'{'' if name in T.CASED else ", 'i'"}), false)"
 
 
 def _count(column: str, name: str) -> str:
     pattern = T.PATTERNS[name].replace("'", "''")
-    return f"coalesce(len(regexp_extract_all({column}, '(?i){pattern}')), 0)"
+    return f"coalesce(len(regexp_extract_all({column}, '{'' if name in T.CASED else '(?i)'}{pattern}')), 0)"
 
 
 _BODY = "coalesce(nullif(main_text, ''), nullif(text, ''), '')"
