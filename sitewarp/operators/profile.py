@@ -30,9 +30,21 @@ EVIDENCE_WORDS, EVIDENCE_BY_ARCHETYPE = 400, {"docs": 800, "developer-platform":
 BOILERPLATE, BOILERPLATE_BY_ARCHETYPE = 0.7, {"e-commerce": 0.8}
 
 
+#: Columns of ``with_kind``.
+TYPES, KIND = "__types", "__kind"
+
+
+def with_kind(page: DataFrame) -> DataFrame:
+    """``page`` with its declared types and kind as columns, for readers that need them more than once: each is worked out once a row."""
+    typed = page.withColumn(TYPES, declared_types(page))
+    return typed.withColumn(KIND, kind_of(typed))
+
+
 def declared_types(page: DataFrame, column: str = "markup") -> Column:
     """Lower-cased distinct ``@type`` values of a page's JSON-LD texts, single or in arrays, without their vocabulary's address; by
     pattern, so blocks need not be well-formed."""
+    if TYPES in page.columns:
+        return F.col(TYPES)
     blocks = F.coalesce(F.array_join(F.col(f"{column}.jsonld"), "\n"), F.lit(""))
     values = F.regexp_extract_all(blocks, F.lit(r'"@type"[ \t\r\n]*:[ \t\r\n]*(\[[^\]]*\]|"[^"]*")'), F.lit(1))
     names = F.flatten(F.transform(values, lambda v: F.regexp_extract_all(v, F.lit('"([^"]*)"'), F.lit(1))))
@@ -42,6 +54,8 @@ def declared_types(page: DataFrame, column: str = "markup") -> Column:
 
 def kind_of(page: DataFrame) -> Column:
     """struct(page_type, confidence) of a page row: sure paths first, then declared types, softer paths, and the page's shape."""
+    if KIND in page.columns:
+        return F.col(KIND)
     url, types = F.coalesce("url", F.lit("")), declared_types(page)
     table = F.create_map(*(F.lit(x) for kv in DECLARED.items() for x in kv))
     hint = F.get(F.filter(F.transform(types, lambda t: F.element_at(table, t)), lambda x: x.isNotNull()), F.lit(0))
@@ -59,6 +73,7 @@ def page_type(page: DataFrame) -> DataFrame:
 
 def site_signals(page: DataFrame) -> DataFrame:
     """One row of booleans per site. Per-page facts are folded with partial aggregation: one shuffle of one row per task and site."""
+    page = with_kind(page)
     typed = page.withColumn("page_type", kind_of(page)["page_type"])
     body, p, types = F.coalesce("main_text", F.lit("")), F.lower(U.path(F.coalesce("url", F.lit("")))), declared_types(page)
     has = lambda *names: F.arrays_overlap(types, F.array(*map(F.lit, names)))

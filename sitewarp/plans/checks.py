@@ -14,6 +14,7 @@ from sitewarp.functions import urls as U
 from sitewarp.operators import links, profile, robots
 from sitewarp.plans import deep_checks
 from sitewarp.plans.catalogue import Check, fired
+from sitewarp.session import cut_lineage
 
 
 LISTS = "('home', 'product', 'contact', 'category', 'utility')"
@@ -61,6 +62,7 @@ EMPTY_HEADINGS = "array<struct<level:int,text:string,pos:int>>"
 
 def page_facts(page: DataFrame) -> DataFrame:
     """One row of comparable facts per page row, from that row alone: no join, no shuffle. Nulls count as empty; missing statuses as 0."""
+    page = profile.with_kind(page)
     h = F.coalesce("headings", F.array().cast(EMPTY_HEADINGS))
     levels = F.array_sort(F.array_distinct(F.transform(h, lambda x: x["level"])))
     days = F.array_compact(F.array(*(T.any_date(F.col(f"dates.{c}")) for c in ("http_last_modified", "sitemap_lastmod", "schema_published", "schema_modified", "visible"))))
@@ -87,9 +89,9 @@ def page_facts(page: DataFrame) -> DataFrame:
     )
 
 
-def limited_facts(page: DataFrame) -> DataFrame:
+def limited_facts(page: DataFrame, archetypes: DataFrame | None = None) -> DataFrame:
     """The facts of every page with the limits of its site's archetype."""
-    return profile.with_limits(page_facts(page), profile.archetypes(profile.site_signals(page)))
+    return profile.with_limits(page_facts(page), profile.archetypes(profile.site_signals(page)) if archetypes is None else archetypes)
 
 
 def site_facts(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, facts: DataFrame | None = None, crawlers: dict | None = None) -> DataFrame:
@@ -120,10 +122,13 @@ def suppressed(facts: DataFrame) -> DataFrame:
 
 def findings(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, crawlers: dict | None = None) -> DataFrame:
     """Findings of the whole catalogue in the shape of ``operators.findings``; ``seq`` orders them by rule and page."""
-    facts = limited_facts(page)
+    # facts are narrow and read twice, by page and by site: they are kept, so texts and markup are read once
+    archetypes = cut_lineage(profile.archetypes(profile.site_signals(page)))
+    facts = cut_lineage(limited_facts(page, archetypes))
+    deep = cut_lineage(deep_checks.deep_facts(page, page_raw, archetypes))
     on_pages = fired(facts, PAGE_CHECKS, ["site", "page_id", "url"]).select("site", "check_id", F.col("page_id").alias("at"), F.array("url").alias("affected_urls"), "measure")
     on_sites = fired(site_facts(page, page_raw, sitemap_entry, robots_rule, facts, crawlers), SITE_CHECKS, ["site"]).select("site", "check_id", F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("affected_urls"), "measure")
-    more_on_pages, more_on_sites = deep_checks.raised(page, page_raw, robots_rule, crawlers)
+    more_on_pages, more_on_sites = deep_checks.raised(page, page_raw, robots_rule, crawlers, deep)
     more_on_pages = more_on_pages.select("site", "check_id", F.col("page_id").alias("at"), F.array("url").alias("affected_urls"), "measure")
     more_on_sites = more_on_sites.select("site", "check_id", F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("affected_urls"), "measure")
     rows = on_pages.unionByName(on_sites).unionByName(more_on_pages).unionByName(more_on_sites)

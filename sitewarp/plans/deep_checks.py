@@ -87,6 +87,7 @@ def _any(text: Column, words) -> Column:
 
 def content_facts(page: DataFrame) -> DataFrame:
     """What each page says, from its row alone. Nulls count as empty; a page without dates has age -1."""
+    page = profile.with_kind(page)
     body = F.coalesce(F.nullif("main_text", F.lit("")), F.nullif("text", F.lit("")), F.lit(""))
     whole, blob = F.coalesce("text", F.lit("")), F.coalesce(F.array_join("markup.jsonld", "\n"), F.lit(""))
     types, kind = profile.declared_types(page), profile.kind_of(page)
@@ -123,12 +124,12 @@ def markup_facts(page_raw: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg(*(F.bool_or(c).alias(c) for c in flags), *(F.max(c).alias(c) for c in numbers))
 
 
-def deep_facts(page: DataFrame, page_raw: DataFrame) -> DataFrame:
+def deep_facts(page: DataFrame, page_raw: DataFrame, archetypes: DataFrame | None = None) -> DataFrame:
     """Page facts of content and markup, the limits of the site's archetype, and whether the canonical address conflicts."""
     rows = content_facts(page).join(markup_facts(page_raw), "url", "left").fillna(False, ["markup_directs", "interrupts", "mixed", "no_alt", "intrusive", "structured"]).fillna(0, ["n_hidden", "n_gated", "n_markup"])
     conflicts = links.canonical_conflicts(page, page_raw).select("page_id", F.lit(True).alias("canonical_conflict")).distinct()
     rows = rows.join(conflicts, "page_id", "left").fillna(False, ["canonical_conflict"])
-    return profile.with_limits(rows, profile.archetypes(profile.site_signals(page)))
+    return profile.with_limits(rows, profile.archetypes(profile.site_signals(page)) if archetypes is None else archetypes)
 
 
 def access_facts(page: DataFrame, page_raw: DataFrame, robots_rule: DataFrame, facts: DataFrame, crawlers: dict | None = None) -> DataFrame:
@@ -158,7 +159,7 @@ def access_facts(page: DataFrame, page_raw: DataFrame, robots_rule: DataFrame, f
     return rows.fillna(0, ["n_retrieval", "n_training", "n_dual_purpose", "n_tls_errors", "n_chains"]).fillna(0.0, ["slowest_ms"]).fillna(False, ["robots_answers", "robots_is_html", "has_llms", "shared_name", "has_rules"])
 
 
-def raised(page: DataFrame, page_raw: DataFrame, robots_rule: DataFrame, crawlers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def raised(page: DataFrame, page_raw: DataFrame, robots_rule: DataFrame, crawlers: dict | None = None, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((site, page_id, url, check_id, measure), (site, check_id, measure)) of the rules that hold."""
-    facts = deep_facts(page, page_raw)
+    facts = deep_facts(page, page_raw) if facts is None else facts
     return fired(facts.where("status = 200"), PAGE_CHECKS, ["site", "page_id", "url"]), fired(access_facts(page, page_raw, robots_rule, facts, crawlers), SITE_CHECKS, ["site"])
