@@ -15,7 +15,9 @@ scalar or an array in the same place elsewhere: each kind is a branch of its own
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,15 +29,80 @@ OBJECT, ELEMENT, SCALAR = "{}", "[]", "$"
 def strict_json(text: str):
     """The value of a block that is one well-formed JSON text; ``ValueError`` otherwise.
     NaN and infinities are no JSON; of a repeated member the last counts; numbers of any length stay as they are written
-    if they are longer than the interpreter converts; blocks nested beyond the parser's stack are treated as malformed."""
+    if they are longer than the interpreter converts; blocks may be nested to any depth."""
 
     def refuse(name: str):
         raise ValueError(name)
 
+    whole = lambda digits: int(digits) if len(digits) < 4000 else digits
     try:
-        return json.loads(text, parse_constant=refuse, parse_int=lambda digits: int(digits) if len(digits) < 4000 else digits)
-    except RecursionError as deep:
-        raise ValueError("too deep") from deep
+        return json.loads(text, parse_constant=refuse, parse_int=whole)
+    except RecursionError:
+        return _deep_json(text, whole)
+
+
+_NUMBER = re.compile(r"(-?(?:0|[1-9][0-9]*))((?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_WORDS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def _deep_json(text: str, whole):
+    """What ``strict_json`` returns, for texts nested beyond the interpreter's stack: open objects and arrays are kept in a list."""
+    skip = lambda at: _BLANK.match(text, at).end()
+
+    def member(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no name at {at}")
+        name, at = scanstring(text, at + 1, True)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError(f"no colon at {at}")
+        return name, skip(at + 1)
+
+    stack: list[tuple] = []
+    at = skip(0)
+    while True:
+        first = text[at : at + 1]
+        if first in ("{", "["):
+            value = {} if first == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] != ("}" if first == "{" else "]"):
+                name = None
+                if first == "{":
+                    name, at = member(at)
+                stack.append((value, name))
+                continue
+            at += 1
+        elif first == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif first in _WORDS and text.startswith(_WORDS[first][0], at):
+            value, at = _WORDS[first][1], at + len(_WORDS[first][0])
+        elif m := _NUMBER.match(text, at):
+            value, at = float(m.group()) if m.group(2) else whole(m.group(1)), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        while stack:
+            at = skip(at)
+            holder, name = stack[-1]
+            if name is None:
+                holder.append(value)
+            else:
+                holder[name] = value
+            after = text[at : at + 1]
+            if after == ",":
+                at = skip(at + 1)
+                if name is not None:
+                    name, at = member(at)
+                    stack[-1] = (holder, name)
+                break
+            if after != ("]" if name is None else "}"):
+                raise ValueError(f"not closed at {at}")
+            value = stack.pop()[0]
+            at += 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError(f"more at {at}")
+            return value
 
 
 class Column:
@@ -50,14 +117,22 @@ class Column:
 class _Node:
     """A step of the record's schema. ``depth`` is its definition level, ``rep`` its repetition level."""
 
-    __slots__ = ("column", "depth", "kids", "path", "rep")
+    __slots__ = ("column", "depth", "kids", "parent", "rep", "step")
 
-    def __init__(self, path: tuple[str, ...], depth: int, rep: int):
-        self.path, self.depth, self.rep, self.kids, self.column = path, depth, rep, {}, None
+    def __init__(self, parent: _Node | None, step: str, depth: int, rep: int):
+        self.parent, self.step, self.depth, self.rep, self.kids, self.column = parent, step, depth, rep, {}, None
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        steps, node = [], self
+        while node.parent is not None:
+            steps.append(node.step)
+            node = node.parent
+        return tuple(reversed(steps))
 
     def kid(self, step: str) -> _Node:
         if (found := self.kids.get(step)) is None:
-            found = self.kids[step] = _Node((*self.path, step), self.depth + 1, self.rep + (step == ELEMENT))
+            found = self.kids[step] = _Node(self, step, self.depth + 1, self.rep + (step == ELEMENT))
         return found
 
 
@@ -102,7 +177,7 @@ def _missing(node: _Node, rep: int, depth: int) -> None:
 
 def _dissect(root: _Node, record) -> None:
     """Writes the entries of a record to its columns, parents before children and elements in order; without recursion, so
-    nesting is limited by the parser only."""
+    records may be nested to any depth."""
     stack = [(root, record, 0)]
     while stack:
         node, value, rep = stack.pop()
@@ -134,7 +209,7 @@ def _dissect(root: _Node, record) -> None:
 
 def shred(record) -> list[Column]:
     """Leaf columns of one record, any JSON value."""
-    root = _Node((), 0, 0)
+    root = _Node(None, "", 0, 0)
     _schema(root, record)
     columns: list[Column] = []
     _leaves(root, columns)
@@ -297,3 +372,25 @@ def page_leaves(page: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "path", "value"])
 
     return flat.mapInPandas(run, "page_id bigint, path string, value string")
+
+
+def form_table(page: DataFrame) -> DataFrame:
+    """(page_id, path, action, method, in_main, n_fields): every form, keyed as in ``page_objects``. Null forms keep their place."""
+    rows = page.select("page_id", F.posexplode("forms").alias("at", "f")).where("f is not null")
+    return rows.select("page_id", F.col("at").cast("string").alias("path"), "f.action", "f.method", "f.in_main", F.coalesce(F.size("f.fields"), F.lit(0)).alias("n_fields"))
+
+
+def field_table(page: DataFrame) -> DataFrame:
+    """(page_id, path, parent_path, name, type, required, labelled, placeholder): every form field, linked to its form."""
+    forms = page.select("page_id", F.posexplode("forms").alias("at", "f")).where("f is not null")
+    rows = forms.select("page_id", "at", F.posexplode("f.fields").alias("field", "x")).where("x is not null")
+    return rows.select("page_id", F.concat_ws("/", "at", "field").alias("path"), F.col("at").cast("string").alias("parent_path"), "x.name", "x.type", "x.required", "x.labelled", "x.placeholder")
+
+
+def heading_table(page: DataFrame) -> DataFrame:
+    """(page_id, path, parent_path, level, text): every heading with the nearest earlier one of a smaller level, from its page's row alone."""
+    h = F.filter("headings", lambda x: x.isNotNull())
+    rows = page.select("page_id", h.alias("all"), F.explode(h).alias("h"))
+    above = F.filter("all", lambda x: (x["pos"] < F.col("h.pos")) & (x["level"] < F.col("h.level")))
+    parent = F.array_max(F.transform(above, lambda x: x["pos"]))
+    return rows.select("page_id", F.col("h.pos").cast("string").alias("path"), F.coalesce(parent.cast("string"), F.lit("")).alias("parent_path"), "h.level", "h.text")

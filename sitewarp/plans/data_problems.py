@@ -23,6 +23,18 @@ def p5_leaf_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("leaf_path").agg(F.count("*").alias("n_blocks"), F.sum(F.size("value").cast("bigint")).alias("n_entries"), F.sum(F.size(F.filter("value", lambda v: v.isNotNull())).cast("bigint")).alias("n_values"), F.max(F.array_max("repetition")).cast("bigint").alias("max_repetition"))
 
 
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shredding.form_table(table(spark, sf_dir, "page"))
+
+
+def p5_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shredding.field_table(table(spark, sf_dir, "page"))
+
+
+def p5_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shredding.heading_table(table(spark, sf_dir, "page"))
+
+
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.page_references(table(spark, sf_dir, "page")).unionByName(orphans.sitemap_references(table(spark, sf_dir, "sitemap_entry")))
 
@@ -35,7 +47,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(_references(spark, sf_dir), table(spark, sf_dir, "page_raw"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_leaf_values, p5_leaf_columns, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_leaf_values, p5_leaf_columns, p5_forms, p5_fields, p5_headings, p6_found, p6_report)}
 
 _KEY = r"""regexp_replace(lower(regexp_extract(split_part({0}, '#', 1), '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1))
  || substr(split_part({0}, '#', 1), length(regexp_extract(split_part({0}, '#', 1), '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?]*)', 1)) + 1), '/$', '')"""
@@ -54,7 +66,13 @@ state AS (SELECT w.k, w.period, arg_max(a.status, (a.fetched_at, a.ingested_at,
 orphan AS (SELECT src_table, src_id, target_url, keyed.period FROM keyed LEFT JOIN state ON keyed.k = state.k AND keyed.period = state.period
   WHERE state.status IS NULL OR state.status IN (404, 410))"""
 
+_FORMS = "(SELECT page_id, generate_subscripts(forms, 1) - 1 AS at, unnest(forms) AS f FROM page)"
+
 SQL = {
+    "p5_forms": f"SELECT page_id, at::VARCHAR AS path, f.action AS action, f.method AS method, f.in_main AS in_main, coalesce(len(f.fields), 0)::INTEGER AS n_fields FROM {_FORMS} WHERE f IS NOT NULL",
+    "p5_fields": f"SELECT page_id, at || '/' || k AS path, at::VARCHAR AS parent_path, x.name AS name, x.type AS type, x.required AS required, x.labelled AS labelled, x.placeholder AS placeholder FROM (SELECT page_id, at, generate_subscripts(f.fields, 1) - 1 AS k, unnest(f.fields) AS x FROM {_FORMS} WHERE f IS NOT NULL) WHERE x IS NOT NULL",
+    "p5_headings": """WITH t AS (SELECT page_id, x.pos AS pos, x.level AS level, x.text AS text FROM (SELECT page_id, unnest(headings) AS x FROM page) WHERE x IS NOT NULL)
+SELECT a.page_id, a.pos::VARCHAR AS path, coalesce((SELECT max(b.pos) FROM t b WHERE b.page_id = a.page_id AND b.pos < a.pos AND b.level < a.level)::VARCHAR, '') AS parent_path, a.level, a.text FROM t a""",
     "p6_found": f"WITH {_ORPHANS.strip()} SELECT src_table, src_id, target_url, period FROM orphan",
     "p6_report": f"""WITH {_ORPHANS.strip()}
 SELECT t.src_table, t.period, t.n AS n_references, coalesce(o.n, 0) AS n_orphans, coalesce(o.d, 0) AS n_targets, round(coalesce(o.n, 0)::DOUBLE / t.n, 6) AS orphan_share

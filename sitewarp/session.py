@@ -34,14 +34,17 @@ def local_session(cpus: int | str | None = None, app: str = "sitewarp", shuffle_
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests)
-    a folder of our own is chosen.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a folder of our own is chosen on a local master; on a
+    cluster it is an error, since a folder of one machine would be no shared one.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sitewarp-ckpt-")
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    named = named or tempfile.mkdtemp(prefix="sitewarp-ckpt-")
     context.setCheckpointDir(named)
     return named
 

@@ -77,3 +77,51 @@ def test_deep_nesting_and_long_numbers():
         pass
     else:
         raise AssertionError
+
+
+def test_deep_blocks_parse_like_shallow_ones():
+    import json
+    import random
+
+    from sitewarp.operators.shredding import _deep_json, page_objects, strict_json  # noqa: F401
+
+    rng = random.Random(8)
+
+    def value(depth):
+        kind = rng.randint(0, 6 if depth else 4)
+        if kind == 5:
+            return {rng.choice("abc\"é\\"): value(depth - 1) for _ in range(rng.randint(0, 3))}
+        if kind == 6:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return [None, True, rng.randint(-9, 10**6), rng.uniform(-1, 1), "x\n\"y€"][kind if kind < 5 else 0]
+
+    for _ in range(500):
+        v = value(5)
+        text = json.dumps(v, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        assert _deep_json(text, int) == v
+        broken = text[: rng.randrange(len(text) + 1)] + rng.choice(["", "}", "]", ",", "x", '"', "01", "NaN"]) + text[rng.randrange(len(text) + 1) :]
+        try:
+            want = json.loads(broken, parse_constant=lambda name: 1 / 0)
+        except (ValueError, ZeroDivisionError):
+            want = ValueError
+        try:
+            got = _deep_json(broken, int)
+        except ValueError:
+            got = ValueError
+        assert got == want
+    deep = 30_000
+    assert strict_json("[" * deep + "]" * deep) is not None
+    for bad in ("[" * deep, "[" * deep + "]" * (deep - 1), '{"a":' * deep + "}" * deep):
+        try:
+            strict_json(bad)
+        except ValueError:
+            continue
+        raise AssertionError
+
+
+def test_deep_blocks_give_rows(spark):
+    block = '{"a":' * 1500 + "1" + "}" * 1500
+    page = spark.createDataFrame([(1, (["[" * 20_000 + "]" * 20_000, block],), None, None)], "page_id bigint, markup struct<jsonld:array<string>>, forms array<struct<fields:array<struct<name:string>>>>, headings array<struct<level:int,text:string,pos:int>>")
+    from sitewarp.operators.shredding import page_objects
+
+    assert page_objects(page).count() == 1500
