@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitewarp.functions import text as T
 from sitewarp.operators import findings as O
 from sitewarp.operators import profile, robots
-from sitewarp.plans import checks, deep_checks, report
+from sitewarp.plans import checks, deep_checks, parsed_checks, report
 from sitewarp.plans import crawl_queries as C
 from sitewarp.plans import text_queries as X
 from sitewarp.session import cut_lineage, table
@@ -111,6 +111,18 @@ def site_reports(spark: SparkSession, d: str) -> DataFrame:
     return report.site_reports(cut_lineage(ranked), _pages(spark, d), suppression_counts(spark, d), limits).select("site", "status", "n_pages", "n_findings", F.to_json("findings").alias("findings"), F.to_json("suppressions").alias("suppressions"))
 
 
+def parsed_findings(spark: SparkSession, d: str) -> DataFrame:
+    return parsed_checks.parsed_findings(table(spark, d, "page"), table(spark, d, "page_raw")).select("page_id", "check_id", "measure")
+
+
+def whole_report(spark: SparkSession, d: str) -> DataFrame:
+    """The findings of all rules, those of parsed pages among them, in report order."""
+    page, raw, entries, rules = _tables(spark, d)
+    found = checks.findings(page, raw, entries, rules, CRAWLERS, parsed=True)
+    ranked, _ = O.reported(found, _pages(spark, d))
+    return ranked.select("site", "finding_id", "check_id", "severity", "confidence", "scope", "blocked_by", F.size(F.coalesce("merged_from", F.array().cast("array<string>"))).alias("n_merged"))
+
+
 def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "page_raw").where("html is not null").dropDuplicates(["fetch_id"])
     p = html.parsed_pages(raw, ["fetch_id"])
@@ -122,7 +134,7 @@ def parsed_main(spark: SparkSession, d: str) -> DataFrame:
     return html.parsed_pages(raw, ["fetch_id"]).select("fetch_id", "main_selector", "n_words", "n_main_words", F.size(F.filter("anchors", lambda a: a["in_main"])).alias("n_in_main"), "empty_shell", F.size("parse_errors").alias("n_errors"))
 
 
-QUERIES = {f.__name__: f for f in (page_types, site_signals, site_archetypes, page_facts, page_findings, deep_facts, deep_page_findings, access_facts, deep_site_findings, legacy_deep_findings, site_facts, site_findings, suppression_counts, collapsed_findings, ranked_findings, finding_counts, gate_notes, site_reports, parsed_pages, parsed_main)}
+QUERIES = {f.__name__: f for f in (page_types, site_signals, site_archetypes, page_facts, page_findings, deep_facts, deep_page_findings, access_facts, deep_site_findings, legacy_deep_findings, site_facts, site_findings, suppression_counts, collapsed_findings, ranked_findings, finding_counts, gate_notes, site_reports, parsed_findings, whole_report, parsed_pages, parsed_main)}
 
 _BLOCKS = "coalesce(array_to_string(markup.jsonld, chr(10)), '')"
 _DECLARED = f"""list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all({_BLOCKS}, '"@type"[ \\t\\r\\n]*:[ \\t\\r\\n]*(\\[[^\\]]*\\]|"[^"]*")', 1), lambda v: regexp_extract_all(v, '"([^"]*)"', 1))), lambda t: lower(regexp_extract(t, '([^/#:]*)$', 1))), lambda t: t <> '')))"""
@@ -223,7 +235,9 @@ _CONTENT = f"""SELECT page_id, site, url, page_type, confidence, coalesce(status
  {X._match(_OBSERVED, 'author_hint')} OR contains({_BLOB}, '"author"') AS authored, {X._match("coalesce(text, '')", 'directive')} AS directs, {X._match(_OBSERVED, 'prior_context')} AS assumes,
  len(list_filter({_FLAT_FIELDS}, lambda x: coalesce(x.required, false) AND coalesce(lower(x.name) IN ('phone', 'tel', 'company', 'organisation', 'organization', 'job_title', 'jobtitle', 'dob', 'date_of_birth', 'birthday', 'address1', 'address_line_1', 'street', 'postcode', 'zip', 'fax'), false))) AS n_friction,
  len(list_filter(({X._SENTENCES.format(f'substr({_OBSERVED}, 1, 900)')})[1:5], lambda s: {X._match('s', 'definitional')} AND len({X._TOKENS.format('s')}) <= 50)) > 0 AS defined, {X._match('meta_description', 'definitional')} AS described,
- len({_DECLARED}) AS n_types, coalesce(list_has_any({_DECLARED}, {_ACCEPTED}[page_type]), false) AS accepted, list_contains({_DECLARED}, 'faqpage') AS faq, {_HAS('organization', 'localbusiness', 'corporation', 'website')} AS identity, contains({_BLOB}, '"sameAs"') AS same_as, contains({_BLOB}, '"description"') AS blob_described,
+ len({_DECLARED}) AS n_types, coalesce(list_has_any({_DECLARED}, {_ACCEPTED}[page_type]), false) AS accepted, list_contains({_DECLARED}, 'faqpage') AS faq,
+ CASE page_type WHEN 'product' THEN NOT (regexp_matches({_BLOB}, '"(name|headline|legalName)"') AND regexp_matches({_BLOB}, '"(price|lowPrice|highPrice)"') AND contains({_BLOB}, '"priceCurrency"')) WHEN 'article' THEN NOT (regexp_matches({_BLOB}, '"(headline|name|title)"') AND regexp_matches({_BLOB}, '"(datePublished|dateCreated|uploadDate)"'))
+  WHEN 'docs' THEN NOT regexp_matches({_BLOB}, '"(headline|name|title)"') WHEN 'home' THEN NOT regexp_matches({_BLOB}, '"(name|headline|legalName)"') WHEN 'pricing' THEN NOT regexp_matches({_BLOB}, '"(name|headline|legalName)"') ELSE false END AS lacks_property, {_HAS('organization', 'localbusiness', 'corporation', 'website')} AS identity, contains({_BLOB}, '"sameAs"') AS same_as, contains({_BLOB}, '"description"') AS blob_described,
  len(list_filter(['wikipedia.org', 'wikidata.org', 'crunchbase.com', 'linkedin.com', 'github.com', 'companieshouse.gov.uk', 'sec.gov', 'opencorporates.com', 'gov.uk', 'europa.eu', 'doi.org', 'orcid.org', 'scholar.google.com', 'bloomberg.com', 'reuters.com'], lambda h: contains({_BLOB}, h))) AS n_authorities,
  {_ANY(_LOWER, ('about', 'who we are', 'what we do'))} AS about, {_ANY(_LOWER, ('get started', 'sign up', 'start free', 'try ', 'buy ', 'book ', 'contact', 'subscribe', 'download', 'request', 'learn more', 'demo', 'order', 'shop'))} AS offers,
  length(substr({_LOWER}, 1, 600)) < 120 OR len(list_filter(['we ', 'our ', 'provides', 'helps', 'platform', 'software', 'service', 'company', 'for ', 'solution', 'tool', 'app'], lambda w: contains(substr({_LOWER}, 1, 600), w))) < 2 AS vague, {X._count("coalesce(text, '')", 'superlative')} AS n_superlatives,

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sitewarp.functions import text as T
 from sitewarp.functions import urls as U
-from sitewarp.operators import links, profile, robots
-from sitewarp.plans import deep_checks
+from sitewarp.operators import crawling, links, profile, robots
+from sitewarp.plans import deep_checks, parsed_checks
 from sitewarp.plans.catalogue import Check, fired
 from sitewarp.session import cut_lineage
 
@@ -56,7 +56,7 @@ SITE_CHECKS = (
     Check("act.nav.sparse_navigation", "Most pages have few links", "low", "likely", "site", "2 * n_sparse > n_pages", "n_sparse"),
     Check("trust.contact.no_contact_facts", "No page states how to get in touch", "low", "likely", "site", "n_with_contact = 0", "n_pages", "low"),
 )
-CATALOGUE = {c.check_id: c for c in (*PAGE_CHECKS, *SITE_CHECKS, *deep_checks.PAGE_CHECKS, *deep_checks.SITE_CHECKS)}
+CATALOGUE = {c.check_id: c for c in (*PAGE_CHECKS, *SITE_CHECKS, *deep_checks.PAGE_CHECKS, *deep_checks.SITE_CHECKS, *parsed_checks.CHECKS)}
 EMPTY_HEADINGS = "array<struct<level:int,text:string,pos:int>>"
 
 
@@ -120,8 +120,9 @@ def suppressed(facts: DataFrame) -> DataFrame:
     return facts.select("site", F.explode(skips).alias("x")).groupBy("site", "x.check_id", "x.reason").agg(F.count("*").alias("n"))
 
 
-def findings(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, crawlers: dict | None = None) -> DataFrame:
-    """Findings of the whole catalogue in the shape of ``operators.findings``; ``seq`` orders them by rule and page."""
+def findings(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, robots_rule: DataFrame, crawlers: dict | None = None, parsed: bool = False) -> DataFrame:
+    """Findings of the whole catalogue in the shape of ``operators.findings``; ``seq`` orders them by rule and page. With ``parsed``
+    the rules that parse html take part; those about visible content then leave out pages that are empty shells."""
     # facts are narrow and read twice, by page and by site: they are kept, so texts and markup are read once
     archetypes = cut_lineage(profile.archetypes(profile.site_signals(page)))
     facts = cut_lineage(limited_facts(page, archetypes))
@@ -132,6 +133,12 @@ def findings(page: DataFrame, page_raw: DataFrame, sitemap_entry: DataFrame, rob
     more_on_pages = more_on_pages.select("site", "check_id", F.col("page_id").alias("at"), F.array("url").alias("affected_urls"), "measure")
     more_on_sites = more_on_sites.select("site", "check_id", F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("affected_urls"), "measure")
     rows = on_pages.unionByName(on_sites).unionByName(more_on_pages).unionByName(more_on_sites)
+    if parsed:
+        seen = cut_lineage(parsed_checks.parsed_findings(page, page_raw))
+        rows = rows.unionByName(seen.select("site", "check_id", F.col("page_id").alias("at"), F.array("url").alias("affected_urls"), "measure"))
+        shells = seen.where("check_id = 'read.render.empty_spa_shell'").select("site", F.col("page_id").alias("at")).distinct()
+        unseen = F.col("check_id").isin(*crawling.NEEDS_VISIBLE)
+        rows = rows.where(~unseen).unionByName(rows.where(unseen).join(shells, ["site", "at"], "left_anti"))
     order = F.create_map(*(x for i, c in enumerate(CATALOGUE) for x in (F.lit(c), F.lit(i))))
     value = lambda field: F.element_at(F.create_map(*(x for c in CATALOGUE.values() for x in (F.lit(c.check_id), F.lit(getattr(c, field))))), F.col("check_id"))
     seq = F.element_at(order, F.col("check_id")).cast("bigint") * F.lit(1 << 48) + F.col("at")

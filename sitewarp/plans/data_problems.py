@@ -66,11 +66,11 @@ state AS (SELECT w.k, w.period, arg_max(a.status, (a.fetched_at, a.ingested_at,
 orphan AS (SELECT src_table, src_id, target_url, keyed.period FROM keyed LEFT JOIN state ON keyed.k = state.k AND keyed.period = state.period
   WHERE state.status IS NULL OR state.status IN (404, 410))"""
 
-_FORMS = "(SELECT page_id, generate_subscripts(forms, 1) - 1 AS at, unnest(forms) AS f FROM page)"
+_FORMS = "(SELECT page_id, generate_subscripts(forms, 1) - 1 AS i, unnest(forms) AS f FROM page)"
 
 SQL = {
-    "p5_forms": f"SELECT page_id, at::VARCHAR AS path, f.action AS action, f.method AS method, f.in_main AS in_main, coalesce(len(f.fields), 0)::INTEGER AS n_fields FROM {_FORMS} WHERE f IS NOT NULL",
-    "p5_fields": f"SELECT page_id, at || '/' || k AS path, at::VARCHAR AS parent_path, x.name AS name, x.type AS type, x.required AS required, x.labelled AS labelled, x.placeholder AS placeholder FROM (SELECT page_id, at, generate_subscripts(f.fields, 1) - 1 AS k, unnest(f.fields) AS x FROM {_FORMS} WHERE f IS NOT NULL) WHERE x IS NOT NULL",
+    "p5_forms": f"SELECT page_id, i::VARCHAR AS path, f.action AS action, f.method AS method, f.in_main AS in_main, coalesce(len(f.fields), 0)::INTEGER AS n_fields FROM {_FORMS} WHERE f IS NOT NULL",
+    "p5_fields": f"SELECT page_id, i || '/' || k AS path, i::VARCHAR AS parent_path, x.name AS name, x.type AS type, x.required AS required, x.labelled AS labelled, x.placeholder AS placeholder FROM (SELECT page_id, i, generate_subscripts(f.fields, 1) - 1 AS k, unnest(f.fields) AS x FROM {_FORMS} WHERE f IS NOT NULL) WHERE x IS NOT NULL",
     "p5_headings": """WITH t AS (SELECT page_id, x.pos AS pos, x.level AS level, x.text AS text FROM (SELECT page_id, unnest(headings) AS x FROM page) WHERE x IS NOT NULL)
 SELECT a.page_id, a.pos::VARCHAR AS path, coalesce((SELECT max(b.pos) FROM t b WHERE b.page_id = a.page_id AND b.pos < a.pos AND b.level < a.level)::VARCHAR, '') AS parent_path, a.level, a.text FROM t a""",
     "p6_found": f"WITH {_ORPHANS.strip()} SELECT src_table, src_id, target_url, period FROM orphan",

@@ -23,6 +23,8 @@ ACCEPTED = {
     "docs": "techarticle article howto apireference webpage blogposting", "home": "organization website localbusiness person webpage corporation ngo store", "contact": "contactpage organization localbusiness webpage person",
     "about": "aboutpage organization localbusiness person webpage", "category": "collectionpage itemlist webpage breadcrumblist product", "other": "webpage",
 }
+#: Member names of which each page type needs one per list.
+NEEDED = {"product": (("name", "headline", "legalName"), ("price", "lowPrice", "highPrice"), ("priceCurrency",)), "pricing": (("name", "headline", "legalName"),), "article": (("headline", "name", "title"), ("datePublished", "dateCreated", "uploadDate")), "docs": (("headline", "name", "title"),), "home": (("name", "headline", "legalName"),)}
 IDENTITY = ("organization", "localbusiness", "corporation", "website")
 OFFERS = ("get started", "sign up", "start free", "try ", "buy ", "book ", "contact", "subscribe", "download", "request", "learn more", "demo", "order", "shop")
 SAYS_WHAT = ("we ", "our ", "provides", "helps", "platform", "software", "service", "company", "for ", "solution", "tool", "app")
@@ -34,6 +36,7 @@ PAGE_CHECKS = (
     Check("trust.authorship.unattributed", "Article names no author", "low", "confirmed", "url", "page_type = 'article' AND NOT authored AND archetype NOT IN ('e-commerce', 'saas-marketing')", "n_words", "low"),
     Check("extract.ans.no_direct_answer_block", "Nothing near the top says what this is", "medium", "likely", "url", "page_type NOT IN ('category', 'utility', 'contact') AND n_tokens >= 80 AND NOT defined AND NOT described", "n_tokens", "low"),
     Check("extract.sd.expected_type_missing", "Structured data is of another kind than the page", "high", "confirmed", "url", "n_types > 0 AND confidence >= 0.6 AND page_type <> 'utility' AND NOT accepted", "n_types"),
+    Check("extract.sd.required_props_missing", "Structured data lacks what its kind of page needs", "medium", "confirmed", "url", "accepted AND lacks_property", "n_types"),
     Check("reach.index.canonical_conflict", "Canonical address leads elsewhere", "high", "confirmed", "url", "canonical_conflict", "n_words", "low"),
     Check("act.orient.no_value_proposition", "The first screen does not say for whom", "high", "likely", "url", "page_type IN ('home', 'product', 'other') AND n_words >= 30 AND NOT speaks", "n_words", "low"),
     Check("act.trust.no_social_proof", "Nothing shows that others use it", "medium", "likely", "url", "page_type IN ('home', 'product', 'pricing') AND n_words >= 60 AND NOT proven", "n_words"),
@@ -85,6 +88,14 @@ def _any(text: Column, words) -> Column:
     return out
 
 
+def _lacking(kind: Column, blob: Column) -> Column:
+    out = F.lit(False)
+    for name, lists in NEEDED.items():
+        for names in lists:
+            out = out | ((kind == name) & ~_any(blob, (f'"{n}"' for n in names)))
+    return out
+
+
 def content_facts(page: DataFrame) -> DataFrame:
     """What each page says, from its row alone. Nulls count as empty; a page without dates has age -1."""
     page = profile.with_kind(page)
@@ -102,7 +113,7 @@ def content_facts(page: DataFrame) -> DataFrame:
         F.coalesce(F.datediff("crawled_at", F.array_max(days)), F.lit(-1)).cast("bigint").alias("newest_age"), (T.matches(body, "author_hint") | F.contains(blob, F.lit('"author"'))).alias("authored"),
         T.matches(whole, "directive").alias("directs"), T.matches(body, "prior_context").alias("assumes"), F.size(F.filter(fields, lambda x: F.coalesce(x["required"], F.lit(False)) & F.coalesce(F.lower(x["name"]).isin(FRICTION), F.lit(False)))).cast("bigint").alias("n_friction"),
         F.exists(F.slice(T.sentences(F.substring(body, 1, 900)), 1, 5), lambda s: T.matches(s, "definitional") & (F.size(T.tokens(s)) <= 50)).alias("defined"), T.matches(F.col("meta_description"), "definitional").alias("described"),
-        F.size(types).cast("bigint").alias("n_types"), F.coalesce(F.arrays_overlap(types, F.try_element_at(wanted, kind["page_type"])), F.lit(False)).alias("accepted"), F.array_contains(types, "faqpage").alias("faq"),
+        F.size(types).cast("bigint").alias("n_types"), F.coalesce(F.arrays_overlap(types, F.try_element_at(wanted, kind["page_type"])), F.lit(False)).alias("accepted"), F.array_contains(types, "faqpage").alias("faq"), _lacking(kind["page_type"], blob).alias("lacks_property"),
         F.arrays_overlap(types, F.array(*map(F.lit, IDENTITY))).alias("identity"), F.contains(blob, F.lit('"sameAs"')).alias("same_as"), F.contains(blob, F.lit('"description"')).alias("blob_described"),
         F.size(F.filter(F.array(*map(F.lit, AUTHORITIES)), lambda h: F.contains(blob, h))).cast("bigint").alias("n_authorities"), _any(low, ("about", "who we are", "what we do")).alias("about"), _any(low, OFFERS).alias("offers"),
         ((F.length(head) < 120) | (F.size(F.filter(F.array(*map(F.lit, SAYS_WHAT)), lambda w: F.contains(head, w))) < 2)).alias("vague"), T.occurrences(whole, "superlative").alias("n_superlatives"),
