@@ -58,19 +58,9 @@ PATTERNS = {
 }
 #: Patterns in which case matters.
 CASED = ("byline", "postal_code", "author_hint")
-#: Small letters of which every match holds at least one: a quick search that spares most texts the pattern.
-NEEDED = {
-    "price": ("$", "£", "€", "¥", "usd", "eur", "gbp", "inr"), "email": ("@",), "opening_hours": ("mon", "tue", "wed", "thu", "fri", "sat", "sun"), "trial": ("trial", "demo", "free"), "cart": ("add to ", "buy now", "checkout"),
-    "injection": ("ignore ", "disregard", "you are now", "system prompt", "as an ai", "do not ", "new instructions"), "statistic": ("%", "percent", "per cent", "million", "billion"), "quotation": ('"', "“"),
-    "citation": ("according to", "study ", "research ", "survey ", "published in", "source:"), "back_reference": ("as mentioned", "as noted", "as described", "as discussed", "see above", "the above", "the former", "the latter", "the aforementioned", "earlier in this"),
-    "free_offer": ("free", "no cost", "open source"), "superlative": ("best", "leading", "world-class", "number one", "premier", "top-rated", "cutting-edge", "unrival", "unmatched", "revolutionary"), "question_words": ("faq", "frequently", "how ", "what is", "why "),
-    "iso_date": ("-",), "text_date": ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"), "copyright_year": ("©", "copyright", "(c)"), "byline": ("by",), "script_notice": ("javascript",),
-    "street_address": (" street", " st", " road", " rd", " ave", " lane", " ln", " dr", " boulevard", " blvd"), "audience_hint": ("for ", "help"), "social_proof": ("testimonial", "review", "rated ", "customer", "case stud", "trusted by", "star"),
-    "proof": ("testimonial", "review", "rat", "star", "by", "join", "customers", "companies", "teams", "users", "case stud", "success story", "“", '"'), "prior_context": ("your ", "as ", "continue", "welcome back", "the above", "the aforementioned"),
-    "volatile_fact": ("pric", "per month", "per year", "current", "as of", "latest", "newest", "this year", "opening hours", "in stock", "available now", "roadmap"), "author_hint": ("by", "author"),
-    "directive": ("ignore", "disregard", "language model", "you are ", "prompt", "mention", "reveal", "disclose", "instruction", "note", "message", "<!--"), "hidden_style": ("style",), "zoom_off": ("scal",), "modal_on_load": ("data-", "class=", "onload"), "gated": ("<details", "class="), "plain_source": ("http://",),
-    "hidden_css": ("display", "visibility", "font-size", "opacity", "text-indent", "left"), "viewport_meta": ("viewport",), "autoplay": ("autoplay", "popup", "interstitial"),
-}
+#: Signs of which every match holds at least one: a quick search that spares most texts the pattern. Letters do not pay, since
+#: texts would have to be lowered first.
+NEEDED = {"email": ("@",), "quotation": ('"', "“"), "iso_date": ("-",), "plain_source": ("://",), "zoom_off": ("=",), "viewport_meta": ("<",), "mount_root": ("=",)}
 # Engines differ on what \b means beside letters outside ASCII, so it is spelled out.
 PATTERNS = {name: re.sub(r"\\b(?=[(\[a-z])(?<![)\]*+].)", "(?:^|[^A-Za-z0-9_])", p) for name, p in PATTERNS.items()}
 PATTERNS = {name: p.replace(r"\b", "(?:[^A-Za-z0-9_]|$)") for name, p in PATTERNS.items()}
@@ -85,9 +75,9 @@ def _regex(name: str) -> str:
 
 def _worth(text: Column, name: str) -> Column | None:
     """Whether the text holds what the pattern cannot do without, or null where nothing is known."""
-    low, out = F.lower(text), None
+    out = None
     for literal in NEEDED.get(name, ()):
-        out = F.contains(low, F.lit(literal)) if out is None else out | F.contains(low, F.lit(literal))
+        out = F.contains(text, F.lit(literal)) if out is None else out | F.contains(text, F.lit(literal))
     return out
 
 

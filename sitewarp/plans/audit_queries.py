@@ -11,7 +11,7 @@ from sitewarp.operators import profile, robots
 from sitewarp.plans import checks, deep_checks, parsed_checks, report
 from sitewarp.plans import crawl_queries as C
 from sitewarp.plans import text_queries as X
-from sitewarp.session import cut_lineage, table
+from sitewarp.session import cut_lineage, spread, table
 from sitewarp.sources import html
 
 
@@ -21,7 +21,12 @@ CRAWLERS = {c: [*tokens, *NAMED[c]] for c, tokens in robots.BOTS.items()}
 
 
 def _tables(spark, d):
-    return [table(spark, d, n) for n in ("page", "page_raw", "sitemap_entry", "robots_rule")]
+    return [_page(spark, d), *(table(spark, d, n) for n in ("page_raw", "sitemap_entry", "robots_rule"))]
+
+
+def _page(spark, d):
+    """Wide facts cost much more than reading, so a small table is spread first."""
+    return spread(table(spark, d, "page"))
 
 
 def page_types(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +34,7 @@ def page_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_signals(spark: SparkSession, d: str) -> DataFrame:
-    return profile.site_signals(table(spark, d, "page"))
+    return profile.site_signals(_page(spark, d))
 
 
 def site_archetypes(spark: SparkSession, d: str) -> DataFrame:
@@ -37,15 +42,15 @@ def site_archetypes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_facts(spark: SparkSession, d: str) -> DataFrame:
-    return checks.page_facts(table(spark, d, "page")).drop("url", "name")
+    return checks.page_facts(_page(spark, d)).drop("url", "name")
 
 
 def page_findings(spark: SparkSession, d: str) -> DataFrame:
-    return checks.fired(checks.limited_facts(table(spark, d, "page")), checks.PAGE_CHECKS, ["page_id"])
+    return checks.fired(checks.limited_facts(_page(spark, d)), checks.PAGE_CHECKS, ["page_id"])
 
 
 def deep_facts(spark: SparkSession, d: str) -> DataFrame:
-    return deep_checks.deep_facts(table(spark, d, "page"), table(spark, d, "page_raw")).drop("url")
+    return deep_checks.deep_facts(_page(spark, d), table(spark, d, "page_raw")).drop("url")
 
 
 def deep_page_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +81,7 @@ def site_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suppression_counts(spark: SparkSession, d: str) -> DataFrame:
-    return checks.suppressed(checks.page_facts(table(spark, d, "page")))
+    return checks.suppressed(checks.page_facts(_page(spark, d)))
 
 
 def _pages(spark, d):
@@ -112,7 +117,7 @@ def site_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parsed_findings(spark: SparkSession, d: str) -> DataFrame:
-    return parsed_checks.parsed_findings(table(spark, d, "page"), table(spark, d, "page_raw")).select("page_id", "check_id", "measure")
+    return parsed_checks.parsed_findings(_page(spark, d), table(spark, d, "page_raw")).select("page_id", "check_id", "measure")
 
 
 def whole_report(spark: SparkSession, d: str) -> DataFrame:

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from sitewarp.functions import text as T
 from sitewarp.operators.joins import salted_join
-from sitewarp.session import table
+from sitewarp.session import spread, table
 
 FLAGS = ("price", "phone", "email", "postal_code", "opening_hours", "byline", "trial", "cart", "street_address", "injection", "statistic", "quotation", "citation", "definition", "pronoun_opener", "back_reference", "audience_hint", "action_verb", "social_proof", "free_offer", "volatile", "superlative", "question_words", "iso_date", "text_date", "copyright_year", "script_notice")
 MARKUP = ("hidden_css", "viewport_meta", "autoplay", "mount_root", "injection")
 
 
 def text_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", *(T.matches(F.col("text"), n).alias(n) for n in FLAGS))
+    return spread(table(spark, d, "documents")).where("text is not null").select("doc_id", *(T.matches(F.col("text"), n).alias(n) for n in FLAGS))
 
 
 def page_patterns(spark: SparkSession, d: str) -> DataFrame:
     body = F.coalesce(F.nullif("main_text", F.lit("")), F.nullif("text", F.lit("")), F.lit(""))
-    return table(spark, d, "page").select("page_id", *(T.occurrences(body, n).alias(n) for n in ("price", "superlative", "statistic", "citation", "volatile")), T.matches(F.trim("title"), "generic_title").alias("generic_title"))
+    return spread(table(spark, d, "page")).select("page_id", *(T.occurrences(body, n).alias(n) for n in ("price", "superlative", "statistic", "citation", "volatile")), T.matches(F.trim("title"), "generic_title").alias("generic_title"))
 
 
 def markup_patterns(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "page_raw").where("html is not null").select("fetch_id", "html").dropDuplicates(["fetch_id"])
+    rows = spread(table(spark, d, "page_raw")).where("html is not null").select("fetch_id", "html").dropDuplicates(["fetch_id"])
     return rows.select("fetch_id", *(T.occurrences(F.col("html"), n).alias(n) for n in MARKUP))
 
 
@@ -85,7 +85,7 @@ def form_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     w = T.greedy_windows(F.col("text"), 60, 0.15)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(w).alias("window_no", "window")).select("doc_id", "window_no", F.size(T.tokens(F.col("window"))).cast("bigint").alias("n_tokens"))
+    return spread(table(spark, d, "documents")).where("text is not null").select("doc_id", F.posexplode(w).alias("window_no", "window")).select("doc_id", "window_no", F.size(T.tokens(F.col("window"))).cast("bigint").alias("n_tokens"))
 
 
 def headline_support(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ def headline_support(spark: SparkSession, d: str) -> DataFrame:
     the main text carries; 0.6 and more is support."""
     words = lambda c: F.array_distinct(F.filter(F.transform(T.tokens(c), F.lower), lambda w: F.length(w) > 3))
     head = F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
-    rows = table(spark, d, "page").where("main_text is not null").select("page_id", words(head).alias("fact"), T.greedy_windows(F.col("main_text"), 60, 0.15).alias("windows")).where("size(fact) >= 3")
+    rows = spread(table(spark, d, "page")).where("main_text is not null").select("page_id", words(head).alias("fact"), T.greedy_windows(F.col("main_text"), 60, 0.15).alias("windows")).where("size(fact) >= 3")
     share = F.array_max(F.transform("windows", lambda w: F.size(F.array_intersect("fact", words(w))) / F.size("fact")))
     return rows.select("page_id", F.round(F.coalesce(share, F.lit(0.0)), 4).alias("support")).withColumn("supported", F.col("support") >= 0.6)
 

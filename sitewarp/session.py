@@ -59,6 +59,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer splits than there are cores, so that small inputs of wide rows keep all of them
+    busy. Inputs of any size have more splits and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the session, once, so they need no path or installation of their own."""
     context = spark.sparkContext
