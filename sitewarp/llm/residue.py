@@ -9,7 +9,11 @@ decides. Unfilled slots are looked for separately in titles and lines of ordinar
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import combinations, pairwise
+from math import comb
+from operator import itemgetter
 
 import pandas as pd
 import xxhash
@@ -79,8 +83,8 @@ _QUOTED = re.compile(r"[“”„«»]|\"[^\"]+\"")
 
 #: Leading tokens of a leaf of the prefix tree, and the share of tokens that a message has in common with its template.
 DEPTH, SIMILAR = 2, 0.7
-#: A leaf with more distinct messages is split by the first half of their tokens.
-LEAF = 50_000
+#: Keys that a founder is looked up by, if one key for each run of tokens is not more already; rows that are handed over at once. No results depend on either.
+KEYS, ROWS = 32, 50_000
 #: Pages with an error status that a template without known wording stands on, and their share of its pages, from which it is a status message.
 LEAST_FAILED, FAILED_SHARE = 3, 0.3
 #: Share of a page's words, but for a heading, in messages of one kind.
@@ -153,74 +157,93 @@ def said_messages(page: DataFrame, page_raw: DataFrame) -> DataFrame:
 
 class Leaf:
     """The templates of one leaf of the prefix tree. Messages, given in a fixed order, join the first template whose founder has
-    enough tokens in common at the same places; those are found by blocks of tokens, one of which must agree wholly."""
+    enough tokens in common at the same places. Of runs of tokens, more than may differ, some must agree wholly; founders are
+    looked up by these. The first ``shared`` tokens are the same in all messages and tell nothing."""
 
-    def __init__(self, size: int, similar: float = SIMILAR):
+    def __init__(self, size: int, similar: float = SIMILAR, shared: int = 0):
         self.need = similar * size
         most = size - int(-(-self.need // 1))
-        self.cuts = [size * k // (most + 1) for k in range(most + 2)]
-        self.founders, self.shapes, self.blocks = [], [], {}
+        # the more runs agree at once, the fewer founders have them in common
+        agree = 1
+        while most + agree < size - shared and comb(most + agree + 1, most) <= KEYS:
+            agree += 1
+        cuts = [shared + (size - shared) * k // (most + agree) for k in range(most + agree + 1)]
+        runs = [[i for a, b in c for i in range(a, b)] for c in combinations(pairwise(cuts), agree)]
+        self.runs = [itemgetter(*r) if r else len for r in runs]
+        self.founders, self.shapes, self.words, self.index = [], [], {}, {}
 
     def add(self, tokens: list[str]) -> int:
-        keys = [(k, *tokens[a:b]) for k, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False))]
-        near = sorted({t for key in keys for t in self.blocks.get(key, ())})
-        for t in near:
+        keys = [hash((k, run(tokens))) for k, run in enumerate(self.runs)]
+        near = set()
+        for key in keys:
+            at = self.index.get(key)
+            if type(at) is int:
+                near.add(at)
+            elif at:
+                near.update(at)
+        for t in sorted(near):
             if sum(map(str.__eq__, self.founders[t], tokens)) >= self.need:
-                self.shapes[t] = [a if a == b else "<*>" for a, b in zip(self.shapes[t], tokens, strict=True)]
+                if any(a != b and a != "<*>" for a, b in zip(self.shapes[t], tokens, strict=True)):
+                    self.shapes[t] = [a if a == b else "<*>" for a, b in zip(self.shapes[t], tokens, strict=True)]
                 return t
-        self.founders.append(tokens)
-        self.shapes.append(tokens)
+        new = len(self.founders)
+        self.founders.append([self.words.setdefault(x, x) for x in tokens])
+        self.shapes.append(self.founders[-1])
         for key in keys:
-            self.blocks.setdefault(key, []).append(len(self.founders) - 1)
-        return len(self.founders) - 1
+            # most keys have one founder, and a list for each would hold most of the memory
+            at = self.index.setdefault(key, new)
+            if type(at) is list:
+                at.append(new)
+            elif at is not new:
+                self.index[key] = [at, new]
+        return new
 
 
 def _mined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Templates and verdicts of messages that come leaf by leaf, in the order of their text."""
-    leaf_name, leaf, members = None, None, []
-
-    def verdicts() -> pd.DataFrame:
-        sums: dict[int, list[int]] = {}
-        for t, _, _, n, failed in members:
-            x = sums.setdefault(t, [0, 0])
-            x[0] += n
-            x[1] += failed
-        rows = []
-        for t, key, read, n, _ in members:
-            total, failed = sums[t]
-            learned = read == "none" and failed >= LEAST_FAILED and failed >= FAILED_SHARE * total
-            if read != "none" or learned:
-                rows.append((key, " ".join(leaf.shapes[t]), "status" if learned else read, n))
-        return pd.DataFrame(rows, columns=["key", "template", "verdict", "n_pages"])
+    """Templates and verdicts of messages that come leaf by leaf, in the order of their text; all of a leaf have one reading."""
+    leaf_name, leaf, read = None, None, "none"
+    keys, places, counts, totals, failures = (array("q") for _ in range(5))
+
+    def verdicts() -> Iterator[pd.DataFrame]:
+        learned = lambda t: failures[t] >= LEAST_FAILED and failures[t] >= FAILED_SHARE * totals[t]
+        told = [read if read != "none" else "status" if learned(t) else None for t in range(len(totals))]
+        for a in range(0, len(keys), ROWS):
+            rows = [(k, " ".join(leaf.shapes[t]), told[t], n) for k, t, n in zip(keys[a : a + ROWS], places[a : a + ROWS], counts[a : a + ROWS], strict=True) if told[t]]
+            yield pd.DataFrame(rows, columns=["key", "template", "verdict", "n_pages"])
+        for x in (keys, places, counts, totals, failures):
+            del x[:]
 
     for batch in batches:
-        for name, key, read, message, n, failed in zip(batch.leaf, batch.key, batch.reading, batch.message, batch.n_pages, batch.n_failed, strict=True):
+        for name, key, reads, message, n, failed in zip(batch.leaf, batch.key, batch.reading, batch.message, batch.n_pages, batch.n_failed, strict=True):
             tokens = message.split(" ")
             if name != leaf_name:
-                if members:
-                    yield verdicts()
-                leaf_name, leaf, members = name, Leaf(len(tokens)), []
-            members.append((leaf.add(tokens), key, read, n, failed))
-    if members:
-        yield verdicts()
+                yield from verdicts()
+                leaf_name, leaf, read = name, Leaf(len(tokens), shared=min(DEPTH, len(tokens) - 1)), reads
+            t = leaf.add(tokens)
+            if t == len(totals):
+                totals.append(0)
+                failures.append(0)
+            totals[t] += n
+            failures[t] += failed
+            keys.append(key)
+            places.append(t)
+            counts.append(n)
+    yield from verdicts()
 
 
 def learned_messages(said: DataFrame) -> DataFrame:
     """(key, template, verdict, n_pages) of the messages that are no ordinary text, and the pages that each stands on.
 
     Only leaves are mined in which a message has telling wording or stands on a page with an error status. All messages of
-    a leaf are sorted and taken together, so templates and verdicts do not depend on the order or partitioning of pages.
+    a leaf, however many, are sorted and taken together, so templates and verdicts do not depend on the order or partitioning
+    of pages or on the size of the leaf. A leaf is one task; it holds its templates in memory, of the messages three numbers each.
     """
     rows = said.select("page_id", "failed", F.explode("messages").alias("m")).select("page_id", "failed", "m.*")
     tokens = F.split("message", " ")
     rows = rows.withColumn("leaf", F.concat_ws(" ", "reading", F.size(tokens), F.slice(tokens, 1, DEPTH)))
     telling = rows.where("failed or reading <> 'none'").select("leaf").distinct()
     counted = rows.join(telling, "leaf", "left_semi").groupBy("leaf", "key", "reading", "message").agg(F.count_distinct("page_id").alias("n_pages"), F.count_distinct(F.when(F.col("failed"), F.col("page_id"))).alias("n_failed"))
-    counted = cut_lineage(counted)
-    large = counted.groupBy("leaf").agg(F.count("*").alias("n")).where(f"n > {LEAF}").select("leaf", F.lit(True).alias("large"))
-    half = F.concat_ws(" ", "leaf", F.slice(tokens, 1, F.ceil(F.size(tokens) / 2).cast("int")))
-    split = counted.join(large, "leaf", "left").withColumn("leaf", F.when(F.col("large"), half).otherwise(F.col("leaf"))).drop("large")
-    return split.repartition("leaf").sortWithinPartitions("leaf", "message").mapInPandas(_mined, LEARNED)
+    return counted.repartition("leaf").sortWithinPartitions("leaf", "message").mapInPandas(_mined, LEARNED)
 
 
 def residue_pages(page: DataFrame, page_raw: DataFrame) -> DataFrame:

@@ -134,6 +134,32 @@ def test_templates_of_a_leaf():
                 plain_.append(tokens)
 
 
+def test_shared_tokens_change_no_template():
+    rng = random.Random(4)
+    for size in (2, 3, 4, 7, 12, 20, 110):
+        shared = min(residue.DEPTH, size - 1)
+        leaf, founders = residue.Leaf(size, shared=shared), []
+        for _ in range(200):
+            tokens = ["x"] * shared + [rng.choice("abc") if rng.random() < 0.4 else str(k) for k in range(shared, size)]
+            near = [t for t, f in enumerate(founders) if sum(map(str.__eq__, f, tokens)) >= residue.SIMILAR * size]
+            assert leaf.add(tokens) == (near[0] if near else len(founders))
+            if not near:
+                founders.append(tokens)
+
+
+def test_the_size_of_a_leaf_changes_no_verdict(spark):
+    """A message with a name in its first half is learnt in a leaf of any size, and so are the templates of the others."""
+    text = lambda i: F.format_string(f"{i}", F.col("id"))
+    said = lambda first, n, failed, message: spark.range(n).select((F.col("id") + first).alias("page_id"), F.expr(failed).alias("failed"), F.array(F.struct((F.col("id") + first).alias("key"), F.lit(9).alias("n"), F.lit(0).alias("lead"), F.lit("none").alias("reading"), message.alias("message"))).alias("messages"))
+    learnt = said(0, 6, "id < 4", text("ohje das n%d ist leider ganz leer heute"))
+    want = {(i, "ohje das <*> ist leider ganz leer heute", "status", 1) for i in range(6)}
+    for others in (10, 50_001):
+        both = learnt.union(said(1_000_000, others, "false", text("ohje das %1$dist nun a%1$d b%1$d c%1$d d%1$d")))
+        assert {tuple(r) for r in residue.learned_messages(both).collect()} == want
+    names = said(0, 50_001, "id % 3 = 0", text("ohje das n%d ist leider ganz leer heute"))
+    assert [tuple(r) for r in residue.learned_messages(names).groupBy("template", "verdict").agg(F.sum("n_pages")).collect()] == [("ohje das <*> ist leider ganz leer heute", "status", 50_001)]
+
+
 def test_phrases_are_those_of_the_patterns():
     from sitewarp.llm.phrases import Phrases
 
